@@ -1,10 +1,13 @@
-"""Linear recurrences (exponential means, local-level filter) as window sums.
+"""Linear recurrences (exponential means, local-level filter, spike smoothing) as window sums.
 
 ``y[t] = a[t] * y[t-1] + b[t]`` unrolls to a weighted sum. With the decay clock
 ``g[t] = sum(-ln a)``, ``y[t] = exp(-g[t]) * sum(b[i] * exp(g[i]))``. The clock is cut
 into blocks of ``BLOCK`` units so the exponentials stay in range, and one value is
 carried over each cut; what lies two blocks back weighs less than exp(-BLOCK).
 Everything is O(1) a row inside the JVM: no Python, no arrays.
+
+The clock is kept as (number of inputs) * unit + extra, so that differences of it
+stay exact to the last bit on long series.
 """
 
 from __future__ import annotations
@@ -18,15 +21,18 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import before, series_window, upto
 
 BLOCK = 300.0
+RESET = 1024.0  # exp(-RESET) is 0: forgets what came before
 
 
 @dataclass(frozen=True)
 class Term:
-    """One recurrence: ``step`` is -ln a[t] and ``push`` is b[t], both NULL on rows without input."""
+    """One recurrence: b[t] in column ``push`` (NULL where there is no input) and
+    -ln a[t] = ``unit`` + column ``extra`` (NULL counts as 0)."""
 
     out: str
-    step: str
+    unit: float
     push: str
+    extra: str | None = None
 
 
 def linear_recurrence(
@@ -38,46 +44,51 @@ def linear_recurrence(
     """
     w = series_window(symbol_col, date_col)
     wb = Window.partitionBy(symbol_col, "_blk").orderBy(date_col)
-    names = range(len(terms))
-    g = [f"_g{i}" for i in names]
-    df = df.withColumns({g[i]: F.coalesce(F.sum(terms[i].step).over(upto(w)), F.lit(0.0)) for i in names})
-    clock = F.greatest(*g) if len(g) > 1 else F.col(g[0])
-    df = df.withColumn("_blk", F.floor(clock / BLOCK))
-    df = df.withColumns(
-        {
-            f"_base{i}": F.first(F.when(F.col(terms[i].push).isNotNull(), F.col(g[i])), True).over(upto(wb))
-            for i in names
-        }
-    )
-    df = df.withColumns(
-        {
-            f"_loc{i}": F.sum(F.col(terms[i].push) * F.exp(F.col(g[i]) - F.col(f"_base{i}"))).over(upto(wb))
-            for i in names
-        }
-    )
-    df = df.withColumns(
-        {f"_loc{i}": F.col(f"_loc{i}") * F.exp(F.col(f"_base{i}") - F.col(g[i])) for i in names}
-    )
+    index = range(len(terms))
+
+    def first_input(i: int, column: str) -> Column:
+        return F.first(F.when(F.col(terms[i].push).isNotNull(), F.col(column)), True).over(upto(wb))
+
+    def last_solved(i: int, column: str) -> Column:
+        return F.last(F.when(F.col(f"_loc{i}").isNotNull(), F.col(column)), True).over(before(w))
+
+    def at_cut(column: str) -> Column:
+        return F.last(F.when(F.col("_cut"), F.col(column)), True).over(upto(w))
+
+    clocks: dict[str, Column] = {}
+    for i, t in enumerate(terms):
+        clocks[f"_n{i}"] = F.count(t.push).over(upto(w))
+        clocks[f"_x{i}"] = (
+            F.coalesce(F.sum(t.extra).over(upto(w)), F.lit(0.0)) if t.extra is not None else F.lit(0.0)
+        )
+    df = df.withColumns(clocks)
+    time = [F.col(f"_n{i}") * t.unit + F.col(f"_x{i}") for i, t in enumerate(terms)]
+    df = df.withColumn("_blk", F.floor((F.greatest(*time) if len(time) > 1 else time[0]) / BLOCK))
+    df = df.withColumns({f"_{p}b{i}": first_input(i, f"_{p}{i}") for i in index for p in "nx"})
+    age = [
+        (F.col(f"_n{i}") - F.col(f"_nb{i}")) * t.unit + (F.col(f"_x{i}") - F.col(f"_xb{i}"))
+        for i, t in enumerate(terms)
+    ]
+    df = df.withColumns({f"_sum{i}": F.sum(F.col(terms[i].push) * F.exp(age[i])).over(upto(wb)) for i in index})
+    df = df.withColumns({f"_loc{i}": F.col(f"_sum{i}") * F.exp(-age[i]) for i in index})
     prior: dict[str, Column] = {"_cut": F.lag("_blk").over(w) != F.col("_blk")}
-    for i in names:
-        prior[f"_pv{i}"] = F.last(f"_loc{i}", True).over(before(w))
-        prior[f"_pg{i}"] = F.last(F.when(F.col(f"_loc{i}").isNotNull(), F.col(g[i])), True).over(before(w))
+    for i in index:
+        prior[f"_pv{i}"] = last_solved(i, f"_loc{i}")
+        prior[f"_pn{i}"] = last_solved(i, f"_n{i}")
+        prior[f"_px{i}"] = last_solved(i, f"_x{i}")
     df = df.withColumns(prior)
-    carried: dict[str, Column] = {}
-    for i in names:
-        carried[f"_cv{i}"] = F.last(F.when(F.col("_cut"), F.col(f"_pv{i}")), True).over(upto(w))
-        carried[f"_cg{i}"] = F.last(F.when(F.col("_cut"), F.col(f"_pg{i}")), True).over(upto(w))
-    df = df.withColumns(carried)
+    df = df.withColumns({f"_c{p}{i}": at_cut(f"_p{p}{i}") for i in index for p in "vnx"})
     out: dict[str, Column] = {}
-    for i, term in enumerate(terms):
-        inherited = F.col(f"_cv{i}") * F.exp(F.col(f"_cg{i}") - F.col(g[i]))
-        out[term.out] = F.when(
+    for i, t in enumerate(terms):
+        gone = (F.col(f"_n{i}") - F.col(f"_cn{i}")) * t.unit + (F.col(f"_x{i}") - F.col(f"_cx{i}"))
+        inherited = F.col(f"_cv{i}") * F.exp(-gone)
+        out[t.out] = F.when(
             F.col(f"_loc{i}").isNotNull() | inherited.isNotNull(),
             F.coalesce(F.col(f"_loc{i}"), F.lit(0.0)) + F.coalesce(inherited, F.lit(0.0)),
         )
     df = df.withColumns(out)
-    helpers = ["_blk", "_cut"] + [f"{p}{i}" for i in names for p in ("_g", "_base", "_loc", "_pv", "_pg", "_cv", "_cg")]
-    return df.drop(*helpers)
+    prefixes = "_n _x _nb _xb _sum _loc _pv _pn _px _cv _cn _cx".split()
+    return df.drop("_blk", "_cut", *[f"{p}{i}" for i in index for p in prefixes])
 
 
 @dataclass(frozen=True)
@@ -102,22 +113,22 @@ def ewm(
     (1 - alpha)**k and the weights are renormalised; the gap rows repeat the mean.
     """
     w = series_window(symbol_col, date_col)
-    df = df.withColumn("_pos", F.row_number().over(w))
+    df = df.withColumn("_at", F.row_number().over(w))
     columns = list(dict.fromkeys(s.column for s in specs))
     seen = {
-        f"_seen_{c}": F.last(F.when(F.col(c).isNotNull(), F.col("_pos")), True).over(before(w)) for c in columns
+        f"_seen_{c}": F.last(F.when(F.col(c).isNotNull(), F.col("_at")), True).over(before(w)) for c in columns
     }
     df = df.withColumns(seen)
     terms, inputs = [], {}
     for i, s in enumerate(specs):
         prev, x, alpha = F.col(f"_seen_{s.column}"), F.col(s.column), s.alpha
-        kept = F.pow(F.lit(1.0 - alpha), F.col("_pos") - prev)
-        step = F.when(
-            F.col("_pos") - prev == 1, F.lit(-math.log1p(-alpha))
-        ).otherwise(F.log(kept + alpha) - (F.col("_pos") - prev) * math.log1p(-alpha))
-        share = F.when(F.col("_pos") - prev == 1, F.lit(alpha)).otherwise(alpha / (kept + alpha))
-        inputs[f"_step_{i}"] = F.when(x.isNotNull(), F.when(prev.isNull(), F.lit(0.0)).otherwise(step))
-        inputs[f"_push_{i}"] = F.when(prev.isNull(), x).otherwise(x * share)
-        terms.append(Term(s.out, f"_step_{i}", f"_push_{i}"))
+        unit = -math.log1p(-alpha)
+        gap = F.col("_at") - prev
+        kept = F.pow(F.lit(1.0 - alpha), gap)
+        inputs[f"_extra_{i}"] = F.when(x.isNotNull() & (gap > 1), F.log(kept + alpha) + (gap - 1) * unit)
+        inputs[f"_push_{i}"] = (
+            F.when(prev.isNull(), x).when(gap == 1, x * alpha).otherwise(x * alpha / (kept + alpha))
+        )
+        terms.append(Term(s.out, unit, f"_push_{i}", f"_extra_{i}"))
     df = linear_recurrence(df.withColumns(inputs), terms, symbol_col=symbol_col, date_col=date_col)
-    return df.drop("_pos", *seen, *inputs)
+    return df.drop("_at", *seen, *inputs)

@@ -126,7 +126,7 @@ ENTRIES: dict[str, Entry] = {
             m="SELECT symbol, date, f.y - g.y AS line FROM f JOIN g USING (symbol, date)",
             s=ewm_sql("m", "line", 9),
         ),
-        digits=same("macd_line macd_signal macd_histogram"),
+        digits=same("macd_line macd_signal macd_histogram", 5),
     ),
     "ewm": entry(
         lambda spark, sf: ewm(

@@ -21,6 +21,6 @@ def shaped(df: DataFrame, keys: Sequence[str], digits: Mapping[str, int]) -> Dat
 
 
 def shaped_sql(query: str, keys: Sequence[str], digits: Mapping[str, int]) -> str:
-    plain = [f"CAST({k} AS VARCHAR) AS {k}" if _is_date(k) else k for k in keys]
+    plain = [f"CAST({k} AS VARCHAR) AS {k}" if _is_date(k) else f'"{k}"' for k in keys]
     rounded = [f"round(CAST({c} AS DOUBLE), {d}) + 0e0 AS {c}" for c, d in digits.items()]
     return f"SELECT {', '.join(plain + rounded)} FROM ({query}) AS answer"
