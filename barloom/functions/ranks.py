@@ -16,43 +16,47 @@ from pyspark.sql import functions as F
 SPREAD = 64
 
 
-def _same(a: Column, b: Column, groups: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for g in groups:
-        cond = cond & a[g].eqNullSafe(b[g])
-    return cond
-
-
 def average_ranks(
-    df: DataFrame, groups: Sequence[str], ranks: Mapping[str, str], *, slots: int = 256
+    df: DataFrame,
+    groups: Sequence[str],
+    ranks: Mapping[str, str],
+    *,
+    weight: str | None = None,
+    resampled_by: Sequence[str] = (),
+    slots: int = 256,
 ) -> DataFrame:
-    """Add the average rank of each value column within ``groups`` (``ranks``: column -> new column)."""
+    """Add the average rank of each value column within ``groups`` (``ranks``: column -> new column).
+
+    With ``weight`` a row counts that many times. ``resampled_by`` names further group columns
+    that repeat the same rows (bootstrap draws): they are ranked apart but share the cuts.
+    """
     probs = [i / slots for i in range(1, slots)]
+    full = [*groups, *resampled_by]
     cuts = df.groupBy(*groups).agg(
-        *[
-            F.array_distinct(F.percentile_approx(c, probs, 20 * slots)).alias(f"_cuts_{c}")
-            for c in ranks
-        ]
+        *[F.array_distinct(F.percentile_approx(c, probs, 20 * slots)).alias(f"_cuts_{c}") for c in ranks]
     )
+    mass = F.lit(1.0) if weight is None else F.col(weight)
     # One row per group with at most ``slots`` cuts a column: bounded by the caller's few groups.
-    df = df.join(F.broadcast(cuts), list(groups))
+    df = df.join(F.broadcast(cuts), list(groups)).withColumn("_m", mass)
     for c, out in ranks.items():
         v = F.col(c)
         below = F.size(F.filter(f"_cuts_{c}", lambda x: x < v))
         df = df.withColumn("_slot", below * 2 + F.array_contains(f"_cuts_{c}", v).cast("int"))
-        counts = df.groupBy(*groups, "_slot").agg(F.count(F.lit(1)).alias("_cnt"))
-        earlier = Window.partitionBy(*groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
-        df = df.join(F.broadcast(offsets), [*groups, "_slot"])
+        counts = df.groupBy(*full, "_slot").agg(F.sum("_m").alias("_cnt"))
+        earlier = Window.partitionBy(*full).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0.0)))
+        # At most 2 * slots rows a group; with resamples the optimiser picks the join.
+        df = df.join(offsets if resampled_by else F.broadcast(offsets), [*full, "_slot"])
         own = F.col("_slot") % 2 == 1
-        df = df.withColumn("_salt", F.when(own, F.monotonically_increasing_id() % SPREAD).otherwise(0))
-        w = Window.partitionBy(*groups, "_slot", "_salt").orderBy(c)
-        ties = Window.partitionBy(*groups, "_slot", "_salt", c)
-        inner = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-        df = df.withColumn(
-            out, F.col("_off") + F.when(own, (F.col("_cnt") + 1) / 2.0).otherwise(inner)
-        ).drop("_slot", "_cnt", "_off", "_salt")
-    return df.drop(*[f"_cuts_{c}" for c in ranks])
+        salt = F.when(own, F.pmod(F.xxhash64(*[x for x in ranks if x != c]), F.lit(SPREAD))).otherwise(0)
+        df = df.withColumn("_salt", salt)
+        # The default frame of an ordered window takes in the rows tied with the current one.
+        w = Window.partitionBy(*full, "_slot", "_salt").orderBy(c)
+        ties = Window.partitionBy(*full, "_slot", "_salt", c)
+        inner = F.sum("_m").over(w) - (F.sum("_m").over(ties) - 1) / 2.0
+        rank = F.col("_off") + F.when(own, (F.col("_cnt") + 1) / 2.0).otherwise(inner)
+        df = df.withColumn(out, rank).drop("_slot", "_cnt", "_off", "_salt")
+    return df.drop("_m", *[f"_cuts_{c}" for c in ranks])
 
 
 def exact_percentiles(
