@@ -104,21 +104,24 @@ def exact_percentiles(
     )
     # Groups x features x probs rows.
     hit = long.join(F.broadcast(targets), keys)
-    below = F.col("v") < F.col("a")
-    inside = (F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))
-    # Everything below the bracket collapses to one row per target before the shuffle.
+    zone = F.when(F.col("v") < F.col("a"), -1).when(F.col("v") > F.col("b"), 1).otherwise(0)
+    # What lies outside the bracket collapses to one row a side, which keeps its nearest value.
     counted = (
-        hit.where(below | inside)
-        .groupBy(*keys, "i", "at", F.when(inside, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        hit.withColumn("zone", zone)
+        .groupBy(*keys, "i", "at", "zone", F.when(F.col("zone") == 0, F.col("v")).alias("at_v"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
     )
-    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v"))
-    placed = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*keys, "i").orderBy("zone", "at_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("upto", F.sum("c").over(w))
     first, second = F.floor("at"), F.ceil("at")
 
     def value_at(rank: Column) -> Column:
+        start = F.col("upto") - F.col("c")
+        inside = (F.col("zone") == 0) & (F.col("upto") > rank) & (start <= rank)
         return F.max(
-            F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("v"))
+            F.when(inside, F.col("at_v"))
+            .when((F.col("zone") == -1) & (rank == F.col("upto") - 1), F.col("most"))
+            .when((F.col("zone") == 1) & (rank == start), F.col("least"))
         )
 
     picked = placed.groupBy(*keys, "i", "at").agg(value_at(first).alias("x"), value_at(second).alias("y"))

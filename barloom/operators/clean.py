@@ -7,13 +7,10 @@ same reason: their rows travel packed per symbol instead of re-shuffling the bar
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.recurrence import RESET, Term, linear_recurrence
 from barloom.functions.rolling import before, ratio, roll, series_window, upto
 from barloom.sources.bars import OHLCV, PRICES
 
@@ -120,40 +117,59 @@ def is_ordered() -> Column:
 # Filling
 
 
-def fill_limited(df: DataFrame, *, max_consecutive_days: int = 2, flags: bool = False) -> DataFrame:
+def _in_long_run(missing: Column, k: int, w) -> Column:
+    """Whether a missing row lies in a run of more than ``k`` missing rows.
+
+    True when some ``k + 1`` consecutive rows around it are all missing; only ``k`` rows
+    either side are looked at.
+    """
+    at = {o: F.coalesce(F.lag(missing, -o).over(w), F.lit(False)) if o else missing for o in range(-k, k + 1)}
+    found = F.lit(False)
+    for start in range(-k, 1):
+        all_missing = at[start]
+        for o in range(start + 1, start + k + 1):
+            all_missing = all_missing & at[o]
+        found = found | all_missing
+    return found
+
+
+def fill_limited(
+    df: DataFrame, *, max_consecutive_days: int = 2, flags: bool = False, run_lengths: bool = False
+) -> DataFrame:
     """Carry prices over runs of at most ``max_consecutive_days`` missing values; drop longer runs.
 
     Columns are handled in order, and the rows one column drops are gone before the runs
-    of the next are measured. A short run at the start stays NULL. Only frames of
-    ``max_consecutive_days`` rows are looked at. With ``flags``, ``_fill_<column>`` holds
-    1 on filled rows and ``_run_<column>`` the run length on the first row of a run.
+    of the next are measured. A short run at the start stays NULL. One window per column.
+    With ``flags``, ``_fill_<column>`` holds 1 on filled rows; with ``run_lengths``,
+    ``_run_<column>`` the run length on the first row of a run.
     """
     k = max_consecutive_days
     w = series_window()
     for c in PRICES:
         x = F.col(c)
-        df = df.withColumn("_all", F.count_if(x.isNull()).over(w.rowsBetween(-k, 0)) == k + 1)
-        df = df.withColumn("_long", F.coalesce(F.bool_or("_all").over(w.rowsBetween(0, k)), F.lit(False)))
-        df = df.where(x.isNotNull() | ~F.col("_long")).drop("_all", "_long")
-        # max_consecutive_days = 0 drops every row with a missing price.
-        filled = F.last(x, True).over(w.rowsBetween(-k, -1)) if k > 0 else F.lit(None).cast("double")
-        new = {"_value": F.coalesce(x, filled)}
-        if flags:
+        # A short run has its last known value at most k rows back, in rows no filter removes.
+        carried = F.last(x, True).over(w.rowsBetween(-k, -1)) if k > 0 else F.lit(None).cast("double")
+        new = {"_carried": carried, "_long": x.isNull() & _in_long_run(x.isNull(), k, w)}
+        if run_lengths:
             new["_at"] = F.row_number().over(w)
-            new[f"_fill_{c}"] = F.when(x.isNull() & filled.isNotNull(), 1).otherwise(0)
-            new[f"_first_{c}"] = x.isNull() & (F.coalesce(F.lag(x.isNotNull()).over(w), F.lit(True)))
+            new["_known_before"] = F.coalesce(F.lag(x.isNotNull()).over(w), F.lit(True))
         df = df.withColumns(new)
+        if run_lengths:
+            ahead = w.rowsBetween(1, max(k, 1))
+            end = F.coalesce(F.min(F.when(x.isNotNull(), F.col("_at"))).over(ahead), F.max("_at").over(ahead) + 1)
+            first = x.isNull() & F.col("_known_before")
+            length = F.coalesce(end, F.col("_at") + 1) - F.col("_at")
+            df = df.withColumn(f"_run_{c}", F.when(first, length)).drop("_at", "_known_before")
+        df = df.where(~F.col("_long")).drop("_long")
         if flags:
-            ahead = F.min(F.when(x.isNotNull(), F.col("_at"))).over(w.rowsBetween(1, max(k, 1)))
-            end = F.coalesce(ahead, F.max("_at").over(w.rowsBetween(0, max(k, 1))) + 1)
-            df = df.withColumn(f"_run_{c}", F.when(F.col(f"_first_{c}"), end - F.col("_at"))).drop("_at", f"_first_{c}")
-        df = df.withColumn(c, F.col("_value")).drop("_value")
+            df = df.withColumn(f"_fill_{c}", F.when(x.isNull() & F.col("_carried").isNotNull(), 1).otherwise(0))
+        df = df.withColumn(c, F.coalesce(x, F.col("_carried"))).drop("_carried")
     return df
 
 
 def fill_runs(df: DataFrame, *, max_consecutive_days: int = 2) -> DataFrame:
     """One record per short run of missing prices (also the unfilled one at a series start)."""
-    flagged = fill_limited(df, max_consecutive_days=max_consecutive_days, flags=True)
+    flagged = fill_limited(df, max_consecutive_days=max_consecutive_days, run_lengths=True)
     runs = F.array_compact(
         F.array(
             *[
@@ -273,7 +289,7 @@ def _with_score(df: DataFrame) -> DataFrame:
         {
             "_spread": F.coalesce(ratio(F.col("high") - F.col("low"), F.col("low")), F.lit(0.0)),
             "_vma": roll(F.avg, "volume", 20, w),
-            "_len": F.count(F.lit(1)).over(Window.partitionBy("symbol")),
+            "_len": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
     )
     size = F.abs("daily_return")
@@ -321,6 +337,7 @@ def fix_spikes(df: DataFrame, *, fix_method: str = "interpolation") -> DataFrame
         return df.where(F.coalesce(F.col("spike_action") != "removed", F.lit(True)))
     df = df.withColumns(
         {
+            "_at": F.row_number().over(w),
             "_before": F.lag("close").over(w),
             "_next": F.lead("close").over(w),
             "_inner": F.lag("date").over(w).isNotNull() & F.lead("date").over(w).isNotNull(),
@@ -330,20 +347,30 @@ def fix_spikes(df: DataFrame, *, fix_method: str = "interpolation") -> DataFrame
     df = df.withColumn("_start", F.col("_fix") & ~F.coalesce(F.lag("_fix").over(w), F.lit(False)))
     df = df.withColumns(
         {
-            "_push": F.when(F.col("_start"), (F.col("_before") + F.col("_next")) / 2).when(
-                F.col("_fix"), F.col("_next") / 2
-            ),
-            "_extra": F.when(F.col("_start"), F.lit(RESET)),
+            "_run": F.count_if("_start").over(upto(w)),
+            "_from": F.last(F.when(F.col("_start"), F.col("_at")), True).over(upto(w)),
         }
     )
-    df = linear_recurrence(df, [Term("_smooth", math.log(2.0), "_push", "_extra")])
+    # Powers of two stay in range by cutting long runs; what lies two cuts back weighs 2**-512.
+    step = F.col("_at") - F.col("_from")
+    push = F.when(F.col("_start"), (F.col("_before") + F.col("_next")) / 2).when(F.col("_fix"), F.col("_next") / 2)
+    df = df.withColumns({"_cut": F.floor(step / 512), "_age": step % 512})
+    df = df.withColumn("_push", push * F.pow(F.lit(2.0), F.col("_age")))
+    inside = Window.partitionBy("symbol", "_run", "_cut").orderBy("date")
+    earlier = Window.partitionBy("symbol", "_run").orderBy("_cut").rangeBetween(-1, -1)
+    df = df.withColumn("_here", F.sum("_push").over(upto(inside)))
+    df = df.withColumn("_past", F.sum("_push").over(earlier) * 2.0**-512)
+    df = df.withColumn(
+        "_smooth", (F.col("_here") + F.coalesce(F.col("_past"), F.lit(0.0))) * F.pow(F.lit(0.5), F.col("_age"))
+    )
+    helpers = "_at _before _next _inner _fix _start _run _from _cut _age _push _here _past _smooth".split()
     return df.withColumns(
         {
             "close": F.when(F.col("_fix"), F.col("_smooth")).otherwise(F.col("close")),
             "high": F.when(F.col("_fix"), F.greatest("high", "_smooth")).otherwise(F.col("high")),
             "low": F.when(F.col("_fix"), F.least("low", "_smooth")).otherwise(F.col("low")),
         }
-    ).drop("_before", "_next", "_inner", "_fix", "_start", "_push", "_extra", "_smooth")
+    ).drop(*helpers)
 
 
 # Corporate actions

@@ -38,7 +38,7 @@ class Feature:
     stages: Callable[[object], list[Stage]] = lambda w: []
     means: tuple[Ewm, ...] = ()
     finish: Callable[[object], Stage] = lambda w: {}
-    after: Callable[[DataFrame], DataFrame] | None = None
+    after: Callable[[DataFrame, bool], DataFrame] | None = None
     config: dict = field(default_factory=dict)
 
 
@@ -111,8 +111,8 @@ def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Feature:
     def finish(w):
         return {"macd_line": F.col("_ema_fast") - F.col("_ema_slow")}
 
-    def after(df):
-        df = ewm(df, [Ewm("macd_signal", "macd_line", signal)])
+    def after(df, gaps):
+        df = ewm(df, [Ewm("macd_signal", "macd_line", signal)], gaps=gaps)
         return df.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
 
     return Feature(
@@ -264,20 +264,28 @@ def compute_features(
     df: DataFrame,
     features: Sequence[Feature] | None = None,
     *,
+    gaps: bool = True,
     symbol_col: str = "symbol",
     date_col: str = "date",
 ) -> DataFrame:
-    """Add the columns of ``features`` (all built-in ones by default) to the bars."""
+    """Add the columns of ``features`` (all built-in ones by default) to the bars.
+
+    Cleaned bars have no missing close after the first known one; for them ``gaps=False``
+    spares the recursive features the handling of gaps.
+    """
     chosen = list(default_features().values()) if features is None else list(features)
     w = series_window(symbol_col, date_col)
-    df = add_stages(df, merge_stages(f.stages(w) for f in chosen))
-    means = [m for f in chosen for m in f.means]
-    if means:
-        df = ewm(df, means, symbol_col=symbol_col, date_col=date_col)
-    df = add_stages(df, [f.finish(w) for f in chosen])
-    for f in chosen:
-        if f.after is not None:
-            df = f.after(df)
+    # Recursive means first, while the rows are narrow; then everything else level by level.
+    recursive = [f for f in chosen if f.means]
+    if recursive:
+        df = add_stages(df, merge_stages(f.stages(w) for f in recursive))
+        df = ewm(df, [m for f in recursive for m in f.means], gaps=gaps, symbol_col=symbol_col, date_col=date_col)
+        df = add_stages(df, [f.finish(w) for f in recursive])
+        for f in recursive:
+            if f.after is not None:
+                df = f.after(df, gaps)
+        df = drop_own_helpers(df)
+    df = add_stages(df, merge_stages(f.stages(w) for f in chosen if not f.means))
     return drop_own_helpers(df)
 
 

@@ -30,7 +30,7 @@ def gain_table(process_variance: float, measurement_variance: float) -> list[tup
         predicted = variance + q
         spread = predicted + r
         gain = predicted / spread
-        settled = rows and abs(gain - rows[-1][0]) <= 1e-16 * gain
+        settled = bool(rows) and abs(gain - rows[-1][0]) <= 1e-16 * gain
         variance = (1.0 - gain) * predicted
         rows.append((gain, spread, variance))
         if settled:
@@ -201,23 +201,23 @@ def causality_check(
     """
     numeric = [c for c in NUMERIC if c in df.columns]
     w = series_window()
-    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    rows = df.withColumns({"_probe_at": F.row_number().over(w) - 1, "_probe_len": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
     share = [i / max(check_points - 1, 1) for i in range(check_points)]
-    cuts = F.array(*[F.floor((F.col("_n") - 2) * F.lit(s)) for s in share])
+    cuts = F.array(*[F.floor((F.col("_probe_len") - 2) * F.lit(s)) for s in share])
     cuts = F.array_distinct(F.filter(cuts, lambda c: c >= 0))
-    rows = rows.withColumn("_cut", F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), cuts)))
-    after = (F.col("_cut") >= 0) & (F.col("_i") > F.col("_cut"))
+    rows = rows.withColumn("_probe_cut", F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), cuts)))
+    after = (F.col("_probe_cut") >= 0) & (F.col("_probe_at") > F.col("_probe_cut"))
     rows = rows.withColumns({c: F.when(after, F.col(c) * 1.137).otherwise(F.col(c)) for c in numeric})
     rows = rows.withColumns(
-        {"_symbol": F.col("symbol"), "symbol": F.concat_ws("\u0001", "symbol", F.col("_cut").cast("string"))}
+        {"_probe_symbol": F.col("symbol"), "symbol": F.concat_ws("\u0001", "symbol", F.col("_probe_cut").cast("string"))}
     )
-    done = op(rows).where((F.col("_cut") < 0) | (F.col("_i") <= F.col("_cut")))
-    base = {c: F.max(F.when(F.col("_cut") < 0, F.col(c).cast("double"))).alias(f"_b_{c}") for c in features}
+    done = op(rows).where((F.col("_probe_cut") < 0) | (F.col("_probe_at") <= F.col("_probe_cut")))
+    base = {c: F.max(F.when(F.col("_probe_cut") < 0, F.col(c).cast("double"))).alias(f"_b_{c}") for c in features}
     seen = {
-        c: F.collect_list(F.when(F.col("_cut") >= 0, F.struct(F.col(c).cast("double").alias("v")))).alias(f"_v_{c}")
+        c: F.collect_list(F.when(F.col("_probe_cut") >= 0, F.struct(F.col(c).cast("double").alias("v")))).alias(f"_v_{c}")
         for c in features
     }
-    keyed = done.groupBy("_symbol", "date").agg(*base.values(), *seen.values())
+    keyed = done.groupBy("_probe_symbol", "date").agg(*base.values(), *seen.values())
 
     def differs(c: str) -> Column:
         b = F.col(f"_b_{c}")

@@ -62,7 +62,7 @@ _CLEAN_FEATURES = [ft.returns(), ft.normalized_prices(), ft.rsi(), ft.macd(), ft
 def cleaned_features(spark, sf):
     """Clean the dirty bars and compute the tier 1 and 2 features, behind one exchange of the bars."""
     cleaned = clean.clean_bars(src.bars_dirty(spark, sf), src.corporate_actions(spark, sf))
-    return ft.compute_features(cleaned, _CLEAN_FEATURES)
+    return ft.compute_features(cleaned, _CLEAN_FEATURES, gaps=False)
 
 
 def _tick_wavelet(spark, sf):
