@@ -61,7 +61,8 @@ def moments(df: DataFrame, features: Sequence[str], target: str, group: str) ->
                 z = (part[columns].to_numpy(dtype=float) - center) / spread
                 m = np.column_stack([np.ones(len(z)), z])
                 totals[name] = totals.get(name, 0.0) + m.T @ m
-        yield pd.DataFrame({"_g": list(totals), "m": [t.ravel() for t in totals.values()]})
+        if totals:
+            yield pd.DataFrame({"_g": list(totals), "m": [t.ravel() for t in totals.values()]})
 
     partial = df.select(F.col(group).cast("string").alias("_g"), *columns).na.drop().mapInPandas(
         fold, "_g STRING, m ARRAY<DOUBLE>"

@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 SPREAD = 64
 
 
+def _smaller_cuts(cuts: str, v: Column, slots: int) -> Column:
+    """How many of the sorted cuts are below ``v``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(slots.bit_length() - 1, -1, -1)])
+    further = lambda at, step: F.when(F.get(cuts, at + step - 1) < v, at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def average_ranks(
     df: DataFrame,
     groups: Sequence[str],
@@ -40,8 +47,9 @@ def average_ranks(
     df = df.join(F.broadcast(cuts), list(groups)).withColumn("_m", mass)
     for c, out in ranks.items():
         v = F.col(c)
-        below = F.size(F.filter(f"_cuts_{c}", lambda x: x < v))
-        df = df.withColumn("_slot", below * 2 + F.array_contains(f"_cuts_{c}", v).cast("int"))
+        df = df.withColumn("_below", _smaller_cuts(f"_cuts_{c}", v, slots))
+        on_cut = F.coalesce((F.get(f"_cuts_{c}", F.col("_below")) == v).cast("int"), F.lit(0))
+        df = df.withColumn("_slot", F.col("_below") * 2 + on_cut).drop("_below")
         counts = df.groupBy(*full, "_slot").agg(F.sum("_m").alias("_cnt"))
         earlier = Window.partitionBy(*full).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0.0)))

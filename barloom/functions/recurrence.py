@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import before, series_window, upto
 
 BLOCK = 300.0
+SPREAD = 5.0  # fastest to slowest mean of one call; the slowest still forgets exp(-50) in a block
 
 
 @dataclass(frozen=True)
@@ -162,6 +163,17 @@ def ewm(
     (1 - alpha)**k and the weights are renormalised; the gap rows repeat the mean.
     ``gaps=False`` is cheaper, and fails on a NULL after the first value.
     """
+    # Means solved together share the block cuts, which suit decays of like speed only.
+    pools: list[list[Ewm]] = []
+    for s in sorted(specs, key=lambda s: s.span):
+        if pools and s.span + 1 <= SPREAD * (pools[-1][0].span + 1):
+            pools[-1].append(s)
+        else:
+            pools.append([s])
+    if len(pools) > 1:
+        for pool in pools:
+            df = ewm(df, pool, gaps=gaps, symbol_col=symbol_col, date_col=date_col)
+        return df
     if not gaps:
         return _ewm_dense(df, specs, symbol_col, date_col)
     w = series_window(symbol_col, date_col)

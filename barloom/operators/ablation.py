@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.guards import collect_bounded
 from barloom.functions.linalg import least_squares, moments
 from barloom.operators.metrics import metric_bundle
+from barloom.sources.sinks import materialize
 
 # Name parts that put a column into an ablation group.
 DEFAULT_CATALOG: Mapping[str, tuple[str, ...]] = {
@@ -74,6 +75,7 @@ def ablation_predictions(
     One moment pass serves all variants: each is the solve of a sub-matrix. All variants are
     predicted in the one scan that reads the rows.
     """
+    df = materialize(df.select("split", "symbol", "date", *features, target), "model-frame")
     table = moments(df.where("split = 'train'"), features, target, "split")
     train = table.groups["train"]
     variants = {"full_feature_set": list(range(len(features)))}

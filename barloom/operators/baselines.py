@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.linalg import MomentTable, least_squares, moments, squared_error, total_variation
 from barloom.operators import metrics
+from barloom.sources.sinks import materialize
 
 KEYS = ("split", "symbol", "date")
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 50))
@@ -192,7 +193,7 @@ def arima_111(df: DataFrame, *, target: str = "target", min_rows: int = 10) -> D
         train = pdf.loc[pdf["split"] == "train", "close"].to_numpy(dtype=float)
         rest = pdf.loc[pdf["split"] != "train"].copy()
         if len(train) < min_rows or rest.empty:
-            return pd.DataFrame({"split": [], "symbol": [], "date": [], "y_true": [], "y_pred": []})
+            return rest.iloc[:0].assign(y_true=0.0, y_pred=0.0)[["split", "symbol", "date", "y_true", "y_pred"]]
         levels = arima_forecast(train, len(rest))
         before = np.concatenate([train[-1:], levels[:-1]])
         return rest.assign(y_true=rest[target], y_pred=levels / before - 1.0)[["split", "symbol", "date", "y_true", "y_pred"]]
@@ -216,20 +217,30 @@ def xy_mismatches(x: DataFrame, y: DataFrame, *, on: Sequence[str] = ("symbol",
 def baseline_suite(
     df: DataFrame, *, tier1: Sequence[str], features: Sequence[str], target: str = "target", arima: bool = True
 ) -> DataFrame:
-    """Predictions of all baselines on validation and test."""
-    ready = df.na.drop(subset=[*features, *tier1, target])
-    predictions = [
-        random_walk(ready, target=target),
-        historical_mean(ready, target=target),
-        fit_linear(ready, tier1, target=target).predict(ready, target=target),
-        fit_ridge(ready, features, target=target).predict(ready, target=target),
-    ]
-    if arima:
-        predictions.append(arima_111(ready, target=target))
-    out = predictions[0]
-    for p in predictions[1:]:
-        out = out.unionByName(p)
-    return out
+    """Predictions of all baselines on validation and test.
+
+    The model frame is written once; the fits pass over it, and one scan predicts with all
+    one-step models together.
+    """
+    columns = list(dict.fromkeys([*KEYS, *tier1, *features, target] + (["close"] if arima else [])))
+    ready = materialize(df.na.drop(subset=[*features, *tier1, target]).select(*columns), "model-frame")
+    mean = ready.where("split = 'train'").agg(F.avg(target)).first()[0]
+    linear = fit_linear(ready, tier1, target=target)
+    ridge = fit_ridge(ready, features, target=target)
+    walked = ready.withColumn("_walk", F.lag(target).over(Window.partitionBy("symbol").orderBy("date")))
+    models = {
+        "random_walk": F.col("_walk"),
+        "historical_mean": F.lit(mean).cast("double"),
+        linear.name: linear.expression(),
+        ridge.name: ridge.expression(),
+    }
+    cells = F.array(*[F.struct(F.lit(m).alias("model"), e.alias("y_pred")) for m, e in models.items()])
+    out = (
+        walked.where(F.col("split").isin("validation", "test"))
+        .select(*KEYS, F.col(target).alias("y_true"), F.inline(cells))
+        .select("model", *KEYS, "y_true", "y_pred")
+    )
+    return out.unionByName(arima_111(ready, target=target)) if arima else out
 
 
 def baseline_scores(predictions: DataFrame) -> DataFrame:

@@ -533,20 +533,17 @@ def detection_counts(df: DataFrame, *, spike_threshold: float = 0.2) -> DataFram
     )
 
 
-def correction_counts(steps: DataFrame) -> DataFrame:
-    """Per symbol: corrections made and rows left, from :func:`clean_steps`."""
+def correction_sums() -> dict[str, Column]:
+    """Corrections per row of :func:`clean_steps`."""
     fills = F.col("_fill_volume")
     for c in PRICES:
         fills = fills + F.col(f"_fill_{c}")
-    return steps.groupBy("symbol").agg(
-        F.sum(fills).alias("forward_fills_applied"),
-        F.count("spike_action").alias("spikes_corrected"),
-        F.sum(F.size("_broken")).alias("ohlc_corrections_applied"),
-        F.sum("_adjusted").alias("adjustments_applied"),
-        F.count(F.lit(1)).alias("cleaned_data_rows"),
-        F.min("date").alias("cleaned_start_date"),
-        F.max("date").alias("cleaned_end_date"),
-    )
+    return {
+        "forward_fills_applied": fills,
+        "spikes_corrected": F.col("spike_action").isNotNull().cast("int"),
+        "ohlc_corrections_applied": F.size("_broken"),
+        "adjustments_applied": F.col("_adjusted"),
+    }
 
 
 def cleaning_report(
@@ -566,15 +563,20 @@ def cleaning_report(
     from barloom.operators.quality import quality_report
 
     steps = clean_steps(df, actions, spike_threshold=spike_threshold, **options)
-    cleaned = steps.select("symbol", "date", *OHLCV)
-    quality = quality_report(
-        cleaned, min_trading_days=min_trading_days, min_completeness=min_completeness
-    ).select("symbol", "overall_pass", "enough_days", "ordering_ok", "ordering_pct")
-    joined = (
-        detection_counts(df, spike_threshold=spike_threshold)
-        .join(correction_counts(steps), "symbol", "left")
-        .join(quality, "symbol", "left")
+    cleaned = quality_report(
+        steps, min_trading_days=min_trading_days, min_completeness=min_completeness, also=correction_sums()
+    ).select(
+        "symbol",
+        *correction_sums(),
+        F.col("total_rows").alias("cleaned_data_rows"),
+        F.col("start_date").alias("cleaned_start_date"),
+        F.col("end_date").alias("cleaned_end_date"),
+        "overall_pass",
+        "enough_days",
+        "ordering_ok",
+        "ordering_pct",
     )
+    joined = detection_counts(df, spike_threshold=spike_threshold).join(cleaned, "symbol", "left")
     counts = "forward_fills_applied spikes_corrected ohlc_corrections_applied adjustments_applied cleaned_data_rows".split()
     joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     # A symbol without any row left has no aggregates: it fails the row check.

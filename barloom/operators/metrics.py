@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import average_ranks
+from barloom.sources.sinks import materialize
 
 BY = ("model", "split")
 TINY = 1e-8
@@ -50,7 +51,12 @@ def _sharpe(mean: Column, sd: Column) -> Column:
 
 def information_coefficient(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """Spearman correlation of predictions and actuals, NULL when either is constant or n < 2."""
-    ranked = average_ranks(_known(df).select(*by, "y_true", "y_pred"), by, {"y_true": "_ra", "y_pred": "_rp"})
+    rows = materialize(_known(df).select(*by, "y_true", "y_pred"), "predictions")
+    return _coefficients(rows, by)
+
+
+def _coefficients(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    ranked = average_ranks(rows, by, {"y_true": "_ra", "y_pred": "_rp"})
     sums = ranked.groupBy(*by).agg(
         F.covar_pop("_ra", "_rp").alias("_c"), F.stddev_pop("_ra").alias("_a"), F.stddev_pop("_rp").alias("_p")
     )
@@ -60,8 +66,8 @@ def information_coefficient(df: DataFrame, *, by: Sequence[str] = BY) -> DataFra
 
 def metric_bundle(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
     """All six metrics per group. The coefficient table has one row per group."""
-    ic = information_coefficient(df, by=by)
-    return point_metrics(df, by=by).join(F.broadcast(ic), list(by), "left")
+    rows = materialize(_known(df).select(*by, "y_true", "y_pred"), "predictions")
+    return point_metrics(rows, by=by).join(F.broadcast(_coefficients(rows, by)), list(by), "left")
 
 
 # Bootstrap
@@ -184,6 +190,8 @@ def bootstrap_ci(
     """(group, metric, value, ci_lower, ci_upper) for the five sum metrics."""
     if n_bootstrap < 1 or not 0 < confidence_level < 1:
         raise ValueError("n_bootstrap must be positive and confidence_level between 0 and 1")
+    ids = [id_col] if id_col else ["symbol", "date"]
+    df = materialize(_known(df).select(*dict.fromkeys([*by, *ids, "y_true", "y_pred"])), "predictions")
     draws = bootstrap_draws(df, by=by, id_col=id_col, n_bootstrap=n_bootstrap, random_state=random_state)
     bounds = interval(draws, INTERVALS, by=by, confidence_level=confidence_level)
     point = point_metrics(df, by=by)
@@ -233,6 +241,6 @@ def bootstrap_ic(
         w = resample_weights(ids.to_numpy(np.int64), draws, random_state)
         return pd.Series([[(int(b), float(x)) for b, x in zip(draws, row) if x > 0] for row in w])
 
-    spread = rows.select(*by, "y_true", "y_pred", F.inline(weigh("_id")))
+    spread = materialize(rows, "predictions").select(*by, "y_true", "y_pred", F.inline(weigh("_id")))
     ics = weighted_ic(spread, by=by)
     return interval(ics, ["information_coefficient"], by=by, confidence_level=confidence_level)

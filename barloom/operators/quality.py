@@ -50,10 +50,17 @@ def stats_check(df: DataFrame, *, columns: Sequence[str] = OHLCV) -> DataFrame:
 
 
 def quality_report(
-    df: DataFrame, *, min_trading_days: int = 2500, min_completeness: float = 0.99, stasis_days: int = 5
+    df: DataFrame,
+    *,
+    min_trading_days: int = 2500,
+    min_completeness: float = 0.99,
+    stasis_days: int = 5,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Per symbol: row count, price order, statistics and stasis checks, and their conjunction.
 
+    ``also`` adds sums of further columns, and turns on the date range, in the same pass.
+
     Equal-close runs are pre-grouped on (symbol, run), which the distribution by symbol
     already satisfies, so the whole report costs one exchange.
     """
@@ -66,6 +73,9 @@ def quality_report(
         F.count_if(is_ordered()).alias("valid"),
         F.min("volume").alias("min_volume"),
         *[F.sum(c).alias(f"sum_{c}") for c in OHLCV],
+        *[F.sum(e).alias(n) for n, e in (also or {}).items()],
+        F.min("date").alias("_first"),
+        F.max("date").alias("_last"),
     )
     infinite = F.lit(False)
     for c in OHLCV:
@@ -75,6 +85,7 @@ def quality_report(
         F.sum("valid").alias("valid_bars"),
         F.count_if(F.col("known") >= stasis_days).alias("stasis_runs"),
         (~infinite & ~F.coalesce(F.min("min_volume") < 0, F.lit(False))).alias("stats_ok"),
+        *([F.sum(n).alias(n) for n in also] + [F.min("_first").alias("start_date"), F.max("_last").alias("end_date")] if also else []),
     )
     return report.withColumns(
         {

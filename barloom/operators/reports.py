@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import exact_percentiles
+from barloom.sources.sinks import materialize
 
 PAIRS = (("train", "validation"), ("validation", "test"), ("train", "test"))
 
@@ -18,6 +19,7 @@ def feature_stats(df: DataFrame, features: Sequence[str], *, by: str = "split")
     Splits are too large to sort whole: the moments are one aggregation, the quartiles exact
     by bracketing.
     """
+    df = materialize(df.select(by, *features), "features")
     aggs: list[Column] = []
     for c in features:
         aggs += [

@@ -19,6 +19,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once and read it back, for plans that pass over it several times.
+
+    The copy lives in the shared folder, so a lost executor costs a re-read and not the
+    lineage behind it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_report(df: DataFrame, path: str, *, fmt: str = "json", partition_by: Sequence[str] = ()) -> None:
     """Write a report table as json, csv or parquet; csv flattens nested columns to JSON text."""
     if fmt == "csv":
