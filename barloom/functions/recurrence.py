@@ -139,7 +139,9 @@ def _ewm_dense(df: DataFrame, specs: list[Ewm], symbol_col: str, date_col: str)
     inside = Window.partitionBy(symbol_col, "_lr_blk").orderBy(date_col)
     earlier = Window.partitionBy(symbol_col).orderBy("_lr_blk").rangeBetween(-1, -1)
     df = df.withColumns({f"_lr_s{i}": F.sum(f"_lr_p{i}").over(upto(inside)) for i in range(len(specs))})
-    df = df.withColumns({f"_lr_e{i}": F.sum(f"_lr_p{i}").over(earlier) for i in range(len(specs))})
+    # The sum on the last row of a block is its total. Built on the sums before it, this window
+    # keeps their sort order.
+    df = df.withColumns({f"_lr_e{i}": F.max_by(f"_lr_s{i}", date_col).over(earlier) for i in range(len(specs))})
     out = {}
     for i, s in enumerate(specs):
         here, past = F.col(f"_lr_s{i}"), F.coalesce(F.col(f"_lr_e{i}"), F.lit(0.0)) * math.exp(-units[i] * rows)

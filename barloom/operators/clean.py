@@ -359,7 +359,9 @@ def fix_spikes(df: DataFrame, *, fix_method: str = "interpolation") -> DataFrame
     inside = Window.partitionBy("symbol", "_run", "_cut").orderBy("date")
     earlier = Window.partitionBy("symbol", "_run").orderBy("_cut").rangeBetween(-1, -1)
     df = df.withColumn("_here", F.sum("_push").over(upto(inside)))
-    df = df.withColumn("_past", F.sum("_push").over(earlier) * 2.0**-512)
+    # The sum on the last row of a cut is its total. Built on the sums before it, this window
+    # keeps their sort order.
+    df = df.withColumn("_past", F.max_by("_here", "date").over(earlier) * 2.0**-512)
     df = df.withColumn(
         "_smooth", (F.col("_here") + F.coalesce(F.col("_past"), F.lit(0.0))) * F.pow(F.lit(0.5), F.col("_age"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.recurrence import Ewm, ewm
-from barloom.functions.rolling import Stage, add_stages, merge_stages, ratio, roll, series_window, upto
+from barloom.functions.rolling import Stage, add_stages, merge_stages, ratio, series_window, trailing, upto
 
 
 def _prev(column: str, w, k: int = 1) -> Column:
@@ -27,6 +27,24 @@ def _change(w) -> dict[str, Column]:
     return {"_prev_close": prev, "_ret": ratio(F.col("close"), prev) - 1.0}
 
 
+_AGGREGATES = {"avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
+
+
+def _frame_name(kind: str, column: str, n: int) -> str:
+    return f"_r_{kind}_{column}_{n}"
+
+
+def _frames(w, *wanted: tuple[str, str, int]) -> Stage:
+    """Trailing aggregates under canonical names, so that features asking for the same one share it."""
+    asked = [*wanted, *[("count", column, n) for _, column, n in wanted]]
+    return {_frame_name(k, c, n): _AGGREGATES[k](c).over(trailing(w, n)) for k, c, n in asked}
+
+
+def _framed(kind: str, column: str, n: int) -> Column:
+    """The aggregate, NULL until all ``n`` values are present."""
+    return F.when(F.col(_frame_name("count", column, n)) == n, F.col(_frame_name(kind, column, n)))
+
+
 @dataclass(frozen=True)
 class Feature:
     """One feature module: its output columns, tier, lookback in rows, and how to compute it."""
@@ -63,10 +81,11 @@ def normalized_prices(lookback_window: int = 20) -> Feature:
 
     def stages(w):
         return [
+            _frames(w, ("avg", "close", n), ("std", "close", n), ("avg", "volume", n)),
             {
-                ma: roll(F.avg, "close", n, w),
-                std: roll(F.stddev_samp, "close", n, w),
-                f"_vol_ma{n}": roll(F.avg, "volume", n, w),
+                ma: _framed("avg", "close", n),
+                std: _framed("std", "close", n),
+                f"_vol_ma{n}": _framed("avg", "volume", n),
             },
             {
                 "normalized_close": ratio(F.col("close") - F.col(ma), F.col(std)),
@@ -123,7 +142,8 @@ def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Feature:
 def bollinger(period: int = 20, num_std: float = 2.0) -> Feature:
     def stages(w):
         return [
-            {"bb_middle": roll(F.avg, "close", period, w), "_bb_std": roll(F.stddev_samp, "close", period, w)},
+            _frames(w, ("avg", "close", period), ("std", "close", period)),
+            {"bb_middle": _framed("avg", "close", period), "_bb_std": _framed("std", "close", period)},
             {
                 "bb_upper": F.col("bb_middle") + num_std * F.col("_bb_std"),
                 "bb_lower": F.col("bb_middle") - num_std * F.col("_bb_std"),
@@ -136,11 +156,12 @@ def bollinger(period: int = 20, num_std: float = 2.0) -> Feature:
 
 def stochastic(period: int = 14, signal_period: int = 3) -> Feature:
     def stages(w):
-        low, high = F.col("_k_low"), F.col("_k_high")
+        low, high = _framed("min", "low", period), _framed("max", "high", period)
         return [
-            {"_k_low": roll(F.min, "low", period, w), "_k_high": roll(F.max, "high", period, w)},
+            _frames(w, ("min", "low", period), ("max", "high", period)),
             {"stoch_k": 100.0 * ratio(F.col("close") - low, high - low)},
-            {"stoch_d": roll(F.avg, "stoch_k", signal_period, w)},
+            _frames(w, ("avg", "stoch_k", signal_period)),
+            {"stoch_d": _framed("avg", "stoch_k", signal_period)},
         ]
 
     return Feature("stochastic", 2, ("stoch_k", "stoch_d"), period + signal_period - 2, stages)
@@ -155,7 +176,12 @@ def _true_range() -> Column:
 
 def atr(period: int = 14) -> Feature:
     def stages(w):
-        return [_change(w), {"_tr": _true_range()}, {f"atr_{period}": roll(F.avg, "_tr", period, w)}]
+        return [
+            _change(w),
+            {"_tr": _true_range()},
+            _frames(w, ("avg", "_tr", period)),
+            {f"atr_{period}": _framed("avg", "_tr", period)},
+        ]
 
     return Feature("atr", 2, (f"atr_{period}",), period, stages)
 
@@ -166,19 +192,21 @@ def adx(period: int = 14) -> Feature:
         down = _prev("low", w) - F.col("low")
         pos = F.when((up > down) & (up > 0), up).otherwise(0.0)
         neg = F.when((down > up) & (down > 0), down).otherwise(0.0)
-        a = F.col("_adx_atr")
+        a = _framed("avg", "_tr", period)
         plus, minus = F.col("adx_plus_di"), F.col("adx_minus_di")
         return [
             {**_change(w), "_dm_plus": pos, "_dm_minus": neg},
             {"_tr": _true_range()},
+            # The moves are never NULL, so the count of the true range guards them as well.
+            _frames(w, ("avg", "_tr", period))
+            | {_frame_name("avg", c, period): F.avg(c).over(trailing(w, period)) for c in ("_dm_plus", "_dm_minus")},
             {
-                "_adx_atr": roll(F.avg, "_tr", period, w),
-                "_dmp": roll(F.avg, "_dm_plus", period, w),
-                "_dmm": roll(F.avg, "_dm_minus", period, w),
+                "adx_plus_di": 100.0 * ratio(F.col(_frame_name("avg", "_dm_plus", period)), a),
+                "adx_minus_di": 100.0 * ratio(F.col(_frame_name("avg", "_dm_minus", period)), a),
             },
-            {"adx_plus_di": 100.0 * ratio(F.col("_dmp"), a), "adx_minus_di": 100.0 * ratio(F.col("_dmm"), a)},
             {"_dx": 100.0 * ratio(F.abs(plus - minus), plus + minus)},
-            {"adx_value": roll(F.avg, "_dx", period, w)},
+            _frames(w, ("avg", "_dx", period)),
+            {"adx_value": _framed("avg", "_dx", period)},
         ]
 
     return Feature("adx", 2, ("adx_plus_di", "adx_minus_di", "adx_value"), 2 * period, stages)
@@ -191,7 +219,8 @@ def obv(ma_period: int = 20) -> Feature:
             _change(w),
             {"_flow": F.coalesce(flow, F.lit(0.0))},
             {"obv": F.sum("_flow").over(upto(w))},
-            {"obv_ma20": roll(F.avg, "obv", ma_period, w)},
+            _frames(w, ("avg", "obv", ma_period)),
+            {"obv_ma20": _framed("avg", "obv", ma_period)},
         ]
 
     # The total runs over the whole series: there is no bounded lookback.
@@ -207,7 +236,11 @@ def momentum(periods: Sequence[int] = (5, 20, 60)) -> Feature:
 
 def volatility(period: int = 20) -> Feature:
     def stages(w):
-        return [_change(w), {f"volatility_{period}": roll(F.stddev_samp, "_ret", period, w)}]
+        return [
+            _change(w),
+            _frames(w, ("std", "_ret", period)),
+            {f"volatility_{period}": _framed("std", "_ret", period)},
+        ]
 
     return Feature("volatility", 2, (f"volatility_{period}",), period, stages)
 
@@ -227,11 +260,11 @@ def market_regime(lookback: int = 60, vol_threshold: float = 0.05, return_thresh
     def stages(w):
         return [
             {**_change(w), "_trend": ratio(F.col("close"), _prev("close", w, lookback)) - 1.0},
-            {"_regime_vol": roll(F.stddev_samp, "_ret", lookback, w)},
+            _frames(w, ("std", "_ret", lookback)),
             {
                 "market_regime": regime_code(
                     F.col("_trend"),
-                    F.col("_regime_vol"),
+                    _framed("std", "_ret", lookback),
                     vol_threshold=vol_threshold,
                     return_threshold=return_threshold,
                 )
@@ -289,15 +322,12 @@ def compute_features(
     return drop_own_helpers(df)
 
 
-HELPERS = (
-    "_prev_close _ret _tr _flow _trend _regime_vol _k_low _k_high _bb_std _adx_atr _dmp _dmm _dm_plus _dm_minus "
-    "_dx _ema_fast _ema_slow"
-).split()
+HELPERS = "_prev_close _ret _tr _flow _trend _bb_std _dm_plus _dm_minus _dx _ema_fast _ema_slow".split()
 
 
 def drop_own_helpers(df: DataFrame) -> DataFrame:
     """Drop the helper columns of this module, leaving those of a caller (block layout) alone."""
-    mine = [c for c in df.columns if c in HELPERS or c.startswith(("_vol_ma", "_gain", "_loss", "_avg_"))]
+    mine = [c for c in df.columns if c in HELPERS or c.startswith(("_r_", "_vol_ma", "_gain", "_loss", "_avg_"))]
     return df.drop(*mine)
 
 

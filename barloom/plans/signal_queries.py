@@ -9,7 +9,9 @@ from barloom.functions.blocks import in_blocks
 from barloom.operators import clean, signal, trading
 from barloom.operators import features as ft
 from barloom.plans.entries import Entry, entry, same
-from barloom.plans.oracle import W, sql
+from barloom.plans import cleaning_queries as cq
+from barloom.plans.oracle import W, roll, sql
+from barloom.plans.oracle import ewm as ewm_sql
 from barloom.sources import bars as src
 
 
@@ -128,6 +130,24 @@ ENTRIES: dict[str, Entry] = {
     ),
     "cleaned_features": entry(
         cleaned_features,
-        digits=same("simple_return normalized_close rsi_14 macd_histogram bb_width stoch_d atr_14 adx_value obv momentum_20 volatility_20"),
+        sql(
+            "SELECT x.symbol, x.date, ret AS simple_return, (close - ma) / NULLIF(sd, 0) AS normalized_close, CASE WHEN l.y <= 0 AND g.y > 0 THEN 100 WHEN l.y > 0 THEN 100 - 100 / (1 + g.y / l.y) END AS rsi_14, "
+            f"m.line - s.y AS macd_histogram, 4 * sd AS bb_width, atr_14, obv, momentum_20, volatility_20 FROM x LEFT JOIN g USING (symbol, date) LEFT JOIN l USING (symbol, date) LEFT JOIN m USING (symbol, date) LEFT JOIN s USING (symbol, date)",
+            "dirty",
+            "actions",
+            **cq._CLEAN,
+            cb=f"SELECT *, lag(close) OVER ({W}) AS prev, close / NULLIF(lag(close) OVER ({W}), 0) - 1 AS ret FROM adjusted",
+            x0=f"SELECT *, {roll('avg', 'close', 20)} AS ma, {roll('stddev_samp', 'close', 20)} AS sd, greatest(high - low, abs(high - prev), abs(low - prev)) AS tr, close / NULLIF(lag(close, 20) OVER ({W}), 0) - 1 AS momentum_20, "
+            f"sum(coalesce(sign(close - prev) * volume, 0)) OVER ({W} ROWS UNBOUNDED PRECEDING) AS obv, {roll('stddev_samp', 'ret', 20)} AS volatility_20 FROM cb",
+            x=f"SELECT *, {roll('avg', 'tr', 14)} AS atr_14 FROM x0",
+            ch="SELECT symbol, date, greatest(close - prev, 0e0) AS gain, greatest(prev - close, 0e0) AS loss FROM cb WHERE prev IS NOT NULL AND close IS NOT NULL",
+            g=ewm_sql("ch", "gain", 14),
+            l=ewm_sql("ch", "loss", 14),
+            f=ewm_sql("adjusted", "close", 12),
+            h=ewm_sql("adjusted", "close", 26),
+            m="SELECT symbol, date, f.y - h.y AS line FROM f JOIN h USING (symbol, date)",
+            s=ewm_sql("m", "line", 9),
+        ),
+        digits={**same("normalized_close rsi_14 macd_histogram bb_width atr_14 volatility_20", 5), **same("simple_return momentum_20 obv", 8)},
     ),
 }

@@ -320,18 +320,26 @@ def bars_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits on some bar dates, and dividends of which some fall beside a bar date."""
     dd, no = day_no(), brand_no()
-    base = bars(spark, sf_dir).select("symbol", "date", dd.alias("dd"), no.alias("no"))
-    splits = base.where((F.col("dd") + F.col("no")) % 331 == 0).select(
-        "symbol", "date", F.lit("split").alias("type"), F.lit(2.0).alias("factor"), F.lit(None).cast("double").alias("amount")
-    )
-    dividends = base.where((F.col("dd") + 7 * F.col("no")) % 211 == 0).select(
-        "symbol",
-        F.date_add("date", F.col("no") % 2).alias("date"),
-        F.lit("dividend").alias("type"),
-        F.lit(None).cast("double").alias("factor"),
-        (1 + F.col("no") / F.lit(8.0)).alias("amount"),
+    base = bars(spark, sf_dir).select("symbol", F.col("date").alias("day"), dd.alias("dd"), no.alias("no"))
+
+    def action(hit: Column, date: Column, kind: str, factor: Column, amount: Column) -> Column:
+        row = F.struct(
+            date.alias("date"),
+            F.lit(kind).alias("type"),
+            factor.cast("double").alias("factor"),
+            amount.cast("double").alias("amount"),
+        )
+        return F.when(hit, row)
+
+    split = action((F.col("dd") + F.col("no")) % 331 == 0, F.col("day"), "split", F.lit(2.0), F.lit(None))
+    dividend = action(
+        (F.col("dd") + 7 * F.col("no")) % 211 == 0,
+        F.date_add("day", F.col("no") % 2),
+        "dividend",
+        F.lit(None),
+        1 + F.col("no") / F.lit(8.0),
     )
-    return splits.unionByName(dividends)
+    return base.select("symbol", F.inline(F.array_compact(F.array(split, dividend))))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
