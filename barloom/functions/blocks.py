@@ -20,13 +20,29 @@ def _seconds(order_col: str) -> Column:
     return F.unix_micros(F.col(order_col).cast("timestamp")) / 1e6
 
 
-def slice_seconds(df: DataFrame, *, order_col: str, rows_per_slice: int) -> float:
-    """Slice width at which even one symbol holding every row gives slices of about this size."""
+def slice_seconds(df: DataFrame, *, symbol_col: str, order_col: str, rows_per_slice: int) -> float:
+    """Slice width at which no slice of a symbol holds much more than ``rows_per_slice`` rows.
+
+    Starts from a width that suits evenly spread rows and narrows it while a burst overfills a
+    slice. Each check is one aggregation that reads two columns and combines map-side.
+    """
     sec = _seconds(order_col)
     n, lo, hi = df.agg(F.count(F.lit(1)), F.min(sec), F.max(sec)).first()
     if not n or hi == lo:
         return 1.0
-    return max((hi - lo) * rows_per_slice / n, 1e-6)
+    width = max((hi - lo) * rows_per_slice / n, 1e-6)
+    while width > 1e-6:
+        fullest = (
+            with_slice(df.select(symbol_col, order_col), order_col=order_col, width=width)
+            .groupBy(symbol_col, "_slice")
+            .count()
+            .agg(F.max("count"))
+            .first()[0]
+        )
+        if fullest <= 4 * rows_per_slice:
+            break
+        width = max(width * rows_per_slice / fullest, 1e-6)
+    return width
 
 
 def with_slice(df: DataFrame, *, order_col: str, width: float) -> DataFrame:
@@ -56,7 +72,7 @@ def running_total(
     rows_per_slice: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Cumulative sum of ``value`` per symbol without a per-symbol task."""
-    width = slice_seconds(df, order_col=order_col, rows_per_slice=rows_per_slice)
+    width = slice_seconds(df, symbol_col=symbol_col, order_col=order_col, rows_per_slice=rows_per_slice)
     sliced = with_slice(df.withColumn("_v", value), order_col=order_col, width=width)
     prior = prefix_by_slice(sliced, F.sum("_v"), out="_prior", symbol_col=symbol_col)
     w = Window.partitionBy(symbol_col, "_slice").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +92,7 @@ def with_position(
     rows_per_slice: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Zero-based row number per symbol, counted per slice and offset by the slices before."""
-    width = slice_seconds(df, order_col=order_col, rows_per_slice=rows_per_slice)
+    width = slice_seconds(df, symbol_col=symbol_col, order_col=order_col, rows_per_slice=rows_per_slice)
     sliced = with_slice(df, order_col=order_col, width=width)
     prior = prefix_by_slice(sliced, F.count(F.lit(1)), out="_prior", symbol_col=symbol_col)
     w = Window.partitionBy(symbol_col, "_slice").orderBy(order_col)

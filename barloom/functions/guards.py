@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from barloom.sources.sinks import materialize
+
 BROADCAST_ROWS = 200_000
 COLLECT_ROWS = 100_000
 
@@ -12,9 +14,10 @@ COLLECT_ROWS = 100_000
 def broadcast_if_small(df: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when it has at most ``limit`` rows, else leave it to a shuffle join.
 
-    The count stops after ``limit + 1`` rows.
+    The side is written once, so neither the count nor the join runs its lineage again.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    written = materialize(df, "join-side")
+    return F.broadcast(written) if written.count() <= limit else written
 
 
 def collect_bounded(df: DataFrame, *, limit: int = COLLECT_ROWS) -> list[Row]:

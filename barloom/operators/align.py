@@ -80,7 +80,7 @@ def asof_join(
     both = l.withColumn("_v", F.lit(None).cast(r.schema["_v"].dataType)).unionByName(
         r.withColumn("_row", F.lit(None).cast(l.schema["_row"].dataType))
     )
-    width = slice_seconds(both, order_col=order_col, rows_per_slice=rows_per_slice)
+    width = slice_seconds(both, symbol_col=by, order_col=order_col, rows_per_slice=rows_per_slice)
     both = with_slice(both, order_col=order_col, width=width)
     tail = both.groupBy(by, "_slice").agg(
         F.max_by("_v", F.when(~F.col("_ask"), F.col(order_col))).alias("_tail")

@@ -65,8 +65,16 @@ class LinearModel:
         return spark.createDataFrame([(n, float(v)) for n, v in rows], "feature STRING, coefficient DOUBLE")
 
 
-def fit_linear(df: DataFrame, features: Sequence[str], *, target: str = "target") -> LinearModel:
-    """Ordinary least squares with intercept on the training rows."""
+def _narrow(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """The columns a fit reads, written once: a fit passes over them more than once."""
+    return materialize(df.select("split", "date", *features, target), "fit-rows")
+
+
+def fit_linear(
+    df: DataFrame, features: Sequence[str], *, target: str = "target", written: bool = False
+) -> LinearModel:
+    """Ordinary least squares with intercept on the training rows (``written``: ``df`` is a stored table)."""
+    df = df if written else _narrow(df, features, target)
     table = moments(df.where("split = 'train'"), features, target, "split")
     intercept, coef = least_squares(table, table.groups["train"])
     return LinearModel("linear_regression", tuple(features), intercept, tuple(float(c) for c in coef), {})
@@ -100,6 +108,7 @@ def fit_ridge(
     alphas: Sequence[float] = ALPHAS,
     cv: int = 5,
     tune_on_validation: bool = True,
+    written: bool = False,
 ) -> LinearModel:
     """Ridge on standardised features; alpha by validation error (and, reported, by cross-validated R2).
 
@@ -107,6 +116,7 @@ def fit_ridge(
     """
     if len(alphas) == 0 or min(alphas) <= 0 or cv < 2:
         raise ValueError("alphas must be positive and cv at least 2")
+    df = df if written else _narrow(df, features, target)
     table = moments(_folded(df, cv), features, target, "_fold")
     folds = [m for g, m in table.groups.items() if g != "validation"]
     train = sum(folds[1:], folds[0])
@@ -225,8 +235,8 @@ def baseline_suite(
     columns = list(dict.fromkeys([*KEYS, *tier1, *features, target] + (["close"] if arima else [])))
     ready = materialize(df.na.drop(subset=[*features, *tier1, target]).select(*columns), "model-frame")
     mean = ready.where("split = 'train'").agg(F.avg(target)).first()[0]
-    linear = fit_linear(ready, tier1, target=target)
-    ridge = fit_ridge(ready, features, target=target)
+    linear = fit_linear(ready, tier1, target=target, written=True)
+    ridge = fit_ridge(ready, features, target=target, written=True)
     walked = ready.withColumn("_walk", F.lag(target).over(Window.partitionBy("symbol").orderBy("date")))
     models = {
         "random_walk": F.col("_walk"),

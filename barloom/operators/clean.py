@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from barloom.functions.rolling import before, ratio, roll, series_window, upto
 from barloom.sources.bars import OHLCV, PRICES
 
-VIOLATIONS = ("high_lt_close", "close_lt_low", "low_lt_open", "high_lt_open", "high_lt_low")
+VIOLATIONS = {
+    "high_lt_close": "high < close",
+    "close_lt_low": "close < low",
+    "low_lt_open": "open < low",
+    "high_lt_open": "high < open",
+    "high_lt_low": "high < low",
+}
 
 
 # Detection
@@ -90,11 +96,10 @@ def by_severity(events: DataFrame, level: str) -> DataFrame:
 
 def violation_list() -> Column:
     """Broken order rules of a bar; empty when any price is missing."""
-    o, h, l, c = (F.col(x) for x in PRICES)
-    broken = zip(VIOLATIONS, (h < c, c < l, o < l, h < o, h < l))
     # A comparison with NULL is not true, but the rule is to skip the whole bar.
-    known = o.isNotNull() & h.isNotNull() & l.isNotNull() & c.isNotNull()
-    return F.array_compact(F.array(*[F.when(known & bad, F.lit(name)) for name, bad in broken]))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in PRICES)
+    cells = ", ".join(f"IF({known} AND {bad}, '{name}', NULL)" for name, bad in VIOLATIONS.items())
+    return F.expr(f"array_compact(array({cells}))")
 
 
 def ohlc_violations(df: DataFrame) -> DataFrame:
@@ -117,13 +122,14 @@ def is_ordered() -> Column:
 # Filling
 
 
-def _in_long_run(missing: Column, k: int, w) -> Column:
+def _in_long_run(column: str, k: int, w) -> Column:
     """Whether a missing row lies in a run of more than ``k`` missing rows.
 
     True when some ``k + 1`` consecutive rows around it are all missing; only ``k`` rows
     either side are looked at.
     """
-    at = {o: F.coalesce(F.lag(missing, -o).over(w), F.lit(False)) if o else missing for o in range(-k, k + 1)}
+    missing = F.col(column).isNull()
+    at = {o: F.lag(missing, -o, False).over(w) if o else missing for o in range(-k, k + 1)}
     found = F.lit(False)
     for start in range(-k, 1):
         all_missing = at[start]
@@ -146,10 +152,10 @@ def fill_limited(
     k = max_consecutive_days
     w = series_window()
     for c in PRICES:
-        x = F.col(c)
+        x, names = F.col(c), df.columns
         # A short run has its last known value at most k rows back, in rows no filter removes.
         carried = F.last(x, True).over(w.rowsBetween(-k, -1)) if k > 0 else F.lit(None).cast("double")
-        new = {"_carried": carried, "_long": x.isNull() & _in_long_run(x.isNull(), k, w)}
+        new = {"_carried": carried, "_long": x.isNull() & _in_long_run(c, k, w)}
         if run_lengths:
             new["_at"] = F.row_number().over(w)
             new["_known_before"] = F.coalesce(F.lag(x.isNotNull()).over(w), F.lit(True))
@@ -159,11 +165,12 @@ def fill_limited(
             end = F.coalesce(F.min(F.when(x.isNotNull(), F.col("_at"))).over(ahead), F.max("_at").over(ahead) + 1)
             first = x.isNull() & F.col("_known_before")
             length = F.coalesce(end, F.col("_at") + 1) - F.col("_at")
-            df = df.withColumn(f"_run_{c}", F.when(first, length)).drop("_at", "_known_before")
-        df = df.where(~F.col("_long")).drop("_long")
+            df = df.withColumn(f"_run_{c}", F.when(first, length))
+            names = [*names, f"_run_{c}"]
+        kept = [F.coalesce(x, F.col("_carried")).alias(c) if n == c else F.col(n) for n in names]
         if flags:
-            df = df.withColumn(f"_fill_{c}", F.when(x.isNull() & F.col("_carried").isNotNull(), 1).otherwise(0))
-        df = df.withColumn(c, F.coalesce(x, F.col("_carried"))).drop("_carried")
+            kept.append(F.expr(f"CAST({c} IS NULL AND _carried IS NOT NULL AS INT)").alias(f"_fill_{c}"))
+        df = df.where(~F.col("_long")).select(*kept)
     return df
 
 
@@ -266,17 +273,10 @@ def fix_ohlc(df: DataFrame, *, fix_method: str = "linear_interpolation", flag: s
     if fix_method == "exclude":
         df = df.where(~bad)
     elif fix_method == "linear_interpolation":
-        m = 0.25 * F.col("open") + 0.75 * F.col("close")
-        low, high = F.least("open", m, "close"), F.greatest("open", m, "close")
-        df = df.withColumns({"_lo": low, "_hi": high})
-        df = df.withColumns(
-            {
-                "open": F.when(bad, F.col("_lo")).otherwise(F.col("open")),
-                "high": F.when(bad, F.col("_hi")).otherwise(F.col("high")),
-                "low": F.when(bad, F.col("_lo")).otherwise(F.col("low")),
-                "close": F.when(bad, F.col("_hi")).otherwise(F.col("close")),
-            }
-        ).drop("_lo", "_hi")
+        low = "least(open, 0.25D * open + 0.75D * close, close)"
+        high = "greatest(open, 0.25D * open + 0.75D * close, close)"
+        fixed = {"open": low, "high": high, "low": low, "close": high}
+        df = df.withColumns({c: F.expr(f"IF(size(_broken) > 0, {e}, {c})") for c, e in fixed.items()})
     else:
         raise ValueError("fix_method must be 'linear_interpolation' or 'exclude'")
     return df.withColumnRenamed("_broken", flag) if flag else df.drop("_broken")

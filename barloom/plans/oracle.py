@@ -98,12 +98,18 @@ CTES: dict[str, tuple[Sequence[str], str]] = {
        CASE WHEN (dd + no) % 97 = 0 THEN NULL WHEN (dd + no) % 89 = 1 THEN 0e0 ELSE volume END AS volume
        FROM numbered""",
     ),
+    "brand_days": (
+        (),
+        """SELECT symbol, CAST(d AS DATE) AS day, CAST(d AS DATE) - DATE '1970-01-01' AS dd,
+       CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS BIGINT) AS no
+       FROM (SELECT DISTINCT p_brand AS symbol FROM part), range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(d)""",
+    ),
     "actions": (
-        ("numbered",),
-        """SELECT symbol, date, 'split' AS type, 2e0 AS factor, NULL::DOUBLE AS amount
-       FROM numbered WHERE (dd + no) % 331 = 0
-       UNION ALL SELECT symbol, date + CAST(no % 2 AS INTEGER), 'dividend', NULL, 1 + no / 8e0
-       FROM numbered WHERE (dd + 7 * no) % 211 = 0""",
+        ("brand_days",),
+        """SELECT symbol, day AS date, 'split' AS type, 2e0 AS factor, NULL::DOUBLE AS amount
+       FROM brand_days WHERE (dd + no) % 331 = 0
+       UNION ALL SELECT symbol, day + CAST(no % 2 AS INTEGER), 'dividend', NULL, 1 + no / 8e0
+       FROM brand_days WHERE (dd + 7 * no) % 211 = 0""",
     ),
     "ticks": (
         (),

@@ -318,9 +318,10 @@ def bars_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits on some bar dates, and dividends of which some fall beside a bar date."""
-    dd, no = day_no(), brand_no()
-    base = bars(spark, sf_dir).select("symbol", F.col("date").alias("day"), dd.alias("dd"), no.alias("no"))
+    """Splits and dividends per part brand on days set by arithmetic; many fall beside a bar date."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("symbol")).distinct()
+    days = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))
+    base = part.select("symbol", F.explode(days).alias("day"), brand_no().alias("no")).withColumn("dd", day_no("day"))
 
     def action(hit: Column, date: Column, kind: str, factor: Column, amount: Column) -> Column:
         row = F.struct(

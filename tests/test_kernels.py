@@ -1,9 +1,11 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.blocks import in_blocks, running_total, with_position
+from barloom.functions.blocks import in_blocks, running_total, slice_seconds, with_position, with_slice
 from barloom.functions.guards import broadcast_if_small, collect_bounded
 from barloom.functions.ranks import average_ranks, exact_percentiles
 from barloom.functions.recurrence import Ewm, ewm
@@ -57,7 +59,10 @@ def test_blocks_equal_the_whole_series(spark):
 
 
 def test_running_total_and_position(spark):
-    df = spark.createDataFrame(ticks(), TICKS)
+    burst = [("hot", dt.datetime(2024, 1, 3, 0, 0, i // 50, i % 50 * 1000 + 7), 1.0, 2.0) for i in range(900)]
+    df = spark.createDataFrame(ticks() + burst, TICKS)
+    width = slice_seconds(df, symbol_col="symbol", order_col="date", rows_per_slice=50)
+    assert with_slice(df, order_col="date", width=width).groupBy("symbol", "_slice").count().agg(F.max("count")).first()[0] <= 200
     got = to_pandas(with_position(running_total(df, F.col("volume"), "total", rows_per_slice=50), rows_per_slice=70))
     want = to_pandas(df)
     np.testing.assert_allclose(got["total"], want.groupby("symbol")["volume"].cumsum())
