@@ -60,9 +60,23 @@ def _fills(source: str) -> dict[str, str]:
     return out
 
 
-_VOLUME = (
-    f"coalesce(volume, quantile_cont(volume, 0.5) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))"
-)
+PASSES = 8
+
+
+def _volume_steps(source: str) -> dict[str, str]:
+    """Volume medians in order: each pass fills the missing values that no longer have one in the five rows before.
+
+    ``vol`` is the result.
+    """
+    out, cur = {}, source
+    flag = ", CASE WHEN volume IS NULL THEN 1 ELSE 0 END AS vf"
+    for i in range(PASSES):
+        out[f"vol{i}"] = (
+            f"SELECT * EXCLUDE (volume), CASE WHEN volume IS NULL AND count(*) FILTER (WHERE volume IS NULL) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 0 "
+            f"THEN quantile_cont(volume, 0.5) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) ELSE volume END AS volume{flag if i == 0 else ''} FROM {cur}"
+        )
+        cur = f"vol{i}"
+    return {**out, "vol": f"SELECT * FROM {cur}"}
 
 
 def _fix_ohlc(source: str, keep: str = "") -> str:
@@ -117,7 +131,7 @@ def _adjust_steps(source: str, keep: str = "") -> dict[str, str]:
 _CLEAN = {
     "raw": _SPIKE_SRC.format(src="dirty"),
     **_fills("raw"),
-    "vol": f"SELECT symbol, date, open, high, low, close, {_VOLUME} AS volume, CASE WHEN volume IS NULL THEN 1 ELSE 0 END AS vf, sret, sprev, nf FROM f_close",
+    **_volume_steps("f_close"),
     "ohlc": _fix_ohlc("vol", ", sret, nf, vf"),
     **_spike_steps("ohlc", ", nf, vf, nbad"),
     **_adjust_steps("despiked", ", nf, vf, nbad, action"),
@@ -279,7 +293,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "volume_fill": entry(
         _on_dirty(lambda df: clean.fill_volume(df)),
-        sql(f"SELECT symbol, date, {_VOLUME} AS volume FROM dirty", "dirty"),
+        sql("SELECT symbol, date, volume FROM vol", "dirty", **_volume_steps("dirty")),
         digits={"volume": 6},
     ),
     "ohlc_fix": entry(
