@@ -13,7 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.guards import broadcast_if_small
+from barloom.sources.sinks import materialize
+
 SPREAD = 64
+FEW_GROUPS = 1_000
 
 
 def _smaller_cuts(cuts: str, v: Column, slots: int) -> Column:
@@ -43,8 +47,10 @@ def average_ranks(
         *[F.array_distinct(F.percentile_approx(c, probs, 20 * slots)).alias(f"_cuts_{c}") for c in ranks]
     )
     mass = F.lit(1.0) if weight is None else F.col(weight)
-    # One row per group with at most ``slots`` cuts a column: bounded by the caller's few groups.
-    df = df.join(F.broadcast(cuts), list(groups)).withColumn("_m", mass)
+    # One row per group with at most ``slots`` cuts a column.
+    cuts = materialize(cuts, "rank-cuts")
+    few = cuts.count() <= FEW_GROUPS
+    df = df.join(F.broadcast(cuts) if few else cuts, list(groups)).withColumn("_m", mass)
     for c, out in ranks.items():
         v = F.col(c)
         df = df.withColumn("_below", _smaller_cuts(f"_cuts_{c}", v, slots))
@@ -53,8 +59,8 @@ def average_ranks(
         counts = df.groupBy(*full, "_slot").agg(F.sum("_m").alias("_cnt"))
         earlier = Window.partitionBy(*full).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0.0)))
-        # At most 2 * slots rows a group; with resamples the optimiser picks the join.
-        df = df.join(offsets if resampled_by else F.broadcast(offsets), [*full, "_slot"])
+        # At most 2 * slots rows a group; with resamples or many groups the optimiser picks the join.
+        df = df.join(F.broadcast(offsets) if few and not resampled_by else offsets, [*full, "_slot"])
         own = F.col("_slot") % 2 == 1
         salt = F.when(own, F.pmod(F.xxhash64(*[x for x in ranks if x != c]), F.lit(SPREAD))).otherwise(0)
         df = df.withColumn("_salt", salt)
@@ -111,7 +117,7 @@ def exact_percentiles(
         ),
     )
     # Groups x features x probs rows.
-    hit = long.join(F.broadcast(targets), keys)
+    hit = long.join(broadcast_if_small(targets), keys)
     zone = F.when(F.col("v") < F.col("a"), -1).when(F.col("v") > F.col("b"), 1).otherwise(0)
     # What lies outside the bracket collapses to one row a side, which keeps its nearest value.
     counted = (

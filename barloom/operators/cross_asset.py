@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.guards import broadcast_if_small
+from barloom.functions.guards import broadcast_if_small, collect_bounded
 from barloom.functions.rolling import ratio, roll, rolling_corr, series_window
 from barloom.operators.align import align_asof, align_exact_ffill
 from barloom.operators.features import regime_code
@@ -89,8 +89,9 @@ def peers_of(targets: DataFrame, registry: DataFrame, supplied: DataFrame | None
     own = first.join(wanted, "symbol", "left_semi")
     pairs = first.withColumnRenamed("symbol", "peer").join(broadcast_if_small(own), "sector").select("symbol", "peer")
     if supplied is not None:
-        extra = broadcast_if_small(supplied.select(F.upper("ticker").alias("peer")).distinct(), limit=10_000)
-        pairs = pairs.unionByName(own.select("symbol").join(extra, F.col("peer") != F.col("symbol")))
+        listed = collect_bounded(supplied.select(F.upper("ticker").alias("t")).distinct(), limit=5_000)
+        tickers = F.array(*[F.lit(r["t"]) for r in listed])
+        pairs = pairs.unionByName(own.select("symbol", F.explode(tickers.cast("array<string>")).alias("peer")))
     return pairs.where("symbol <> peer").distinct()
 
 

@@ -65,9 +65,9 @@ def _coefficients(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def metric_bundle(df: DataFrame, *, by: Sequence[str] = BY) -> DataFrame:
-    """All six metrics per group. The coefficient table has one row per group."""
+    """All six metrics per group."""
     rows = materialize(_known(df).select(*by, "y_true", "y_pred"), "predictions")
-    return point_metrics(rows, by=by).join(F.broadcast(_coefficients(rows, by)), list(by), "left")
+    return point_metrics(rows, by=by).join(_coefficients(rows, by), list(by), "left")
 
 
 # Bootstrap
@@ -196,7 +196,7 @@ def bootstrap_ci(
     bounds = interval(draws, INTERVALS, by=by, confidence_level=confidence_level)
     point = point_metrics(df, by=by)
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in INTERVALS])
-    return point.select(*by, F.inline(cells)).join(F.broadcast(bounds), [*by, "metric"], "left")
+    return point.select(*by, F.inline(cells)).join(bounds, [*by, "metric"], "left")
 
 
 def weighted_ic(df: DataFrame, *, by: Sequence[str], draw: str = "draw") -> DataFrame:

@@ -100,17 +100,14 @@ def quality_report(
 
 def validation_summary(quality: DataFrame, excluded: DataFrame) -> DataFrame:
     """Totals over the quality reports and the exclusion list."""
-    passed = quality.agg(
-        F.count(F.lit(1)).alias("validated"),
-        F.count_if(F.col("overall_pass")).alias("symbols_passed"),
-        F.count_if(~F.col("overall_pass")).alias("symbols_manual_review"),
+    rows = quality.select(F.col("overall_pass").alias("ok"), F.lit(False).alias("out")).unionByName(
+        excluded.select(F.lit(None).cast("boolean").alias("ok"), F.lit(True).alias("out"))
     )
-    left = excluded.agg(F.count(F.lit(1)).alias("symbols_excluded"))
-    return passed.crossJoin(F.broadcast(left)).select(
-        (F.col("validated") + F.col("symbols_excluded")).alias("total_symbols"),
-        "symbols_passed",
-        "symbols_excluded",
-        "symbols_manual_review",
+    return rows.agg(
+        F.count(F.lit(1)).alias("total_symbols"),
+        F.count_if(F.col("ok")).alias("symbols_passed"),
+        F.count_if(F.col("out")).alias("symbols_excluded"),
+        F.count_if(~F.col("ok")).alias("symbols_manual_review"),
     )
 
 

@@ -36,7 +36,7 @@ def feature_stats(df: DataFrame, features: Sequence[str], *, by: str = "split")
     )
     moments = df.groupBy(by).agg(*aggs).select(by, F.inline(cells))
     quartiles = exact_percentiles(df, [by], features, [0.25, 0.5, 0.75])
-    return moments.join(F.broadcast(quartiles), [by, "feature"], "left").select(
+    return moments.join(quartiles, [by, "feature"], "left").select(
         by,
         "feature",
         *fields,
