@@ -159,7 +159,7 @@ def stochastic(period: int = 14, signal_period: int = 3) -> Feature:
         low, high = _framed("min", "low", period), _framed("max", "high", period)
         return [
             _frames(w, ("min", "low", period), ("max", "high", period)),
-            {"stoch_k": 100.0 * ratio(F.col("close") - low, high - low)},
+            {"stoch_k": ratio(100.0 * (F.col("close") - low), high - low)},
             _frames(w, ("avg", "stoch_k", signal_period)),
             {"stoch_d": _framed("avg", "stoch_k", signal_period)},
         ]
@@ -201,10 +201,10 @@ def adx(period: int = 14) -> Feature:
             _frames(w, ("avg", "_tr", period))
             | {_frame_name("avg", c, period): F.avg(c).over(trailing(w, period)) for c in ("_dm_plus", "_dm_minus")},
             {
-                "adx_plus_di": 100.0 * ratio(F.col(_frame_name("avg", "_dm_plus", period)), a),
-                "adx_minus_di": 100.0 * ratio(F.col(_frame_name("avg", "_dm_minus", period)), a),
+                "adx_plus_di": ratio(100.0 * F.col(_frame_name("avg", "_dm_plus", period)), a),
+                "adx_minus_di": ratio(100.0 * F.col(_frame_name("avg", "_dm_minus", period)), a),
             },
-            {"_dx": 100.0 * ratio(F.abs(plus - minus), plus + minus)},
+            {"_dx": ratio(100.0 * F.abs(plus - minus), plus + minus)},
             _frames(w, ("avg", "_dx", period)),
             {"adx_value": _framed("avg", "_dx", period)},
         ]

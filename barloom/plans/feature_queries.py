@@ -156,7 +156,7 @@ ENTRIES: dict[str, Entry] = {
             f"SELECT symbol, date, stoch_k, {roll('avg', 'stoch_k', 3)} AS stoch_d FROM k",
             "bars",
             n=f"SELECT symbol, date, close, {roll('min', 'low', 14)} AS lo, {roll('max', 'high', 14)} AS hi FROM bars",
-            k="SELECT symbol, date, 100 * ((close - lo) / NULLIF(hi - lo, 0)) AS stoch_k FROM n",
+            k="SELECT symbol, date, 100 * (close - lo) / NULLIF(hi - lo, 0) AS stoch_k FROM n",
         ),
         digits=same("stoch_k stoch_d"),
     ),
@@ -224,7 +224,7 @@ ENTRIES: dict[str, Entry] = {
             n=f"SELECT symbol, date, close, {roll('min', 'low', 14)} AS lo, {roll('max', 'high', 14)} AS hi, "
             + ", ".join(f"close / lag(close, {k}) OVER ({W}) - 1 AS m{k}" for k in (5, 20, 60))
             + " FROM bars",
-            k="SELECT *, 100 * ((close - lo) / NULLIF(hi - lo, 0)) AS stoch_k FROM n",
+            k="SELECT *, 100 * (close - lo) / NULLIF(hi - lo, 0) AS stoch_k FROM n",
         ),
         digits=same("stoch_k stoch_d momentum_5 momentum_20 momentum_60"),
     ),
@@ -237,7 +237,7 @@ ENTRIES: dict[str, Entry] = {
             f"close / lag(close, 60) OVER ({W}) - 1 AS momentum_60 FROM ticks",
         ),
         keys=TS,
-        digits=same("simple_return close_ma20 normalized_close momentum_60", 5),
+        digits={**same("simple_return close_ma20 momentum_60", 9), "normalized_close": 6},
     ),
     "intraday_obv": entry(
         _stamped(_tick_obv),

@@ -67,7 +67,7 @@ _CHECKED = {
     "pre": f"""SELECT *, {roll('avg', 'close', 20)} AS close_ma20, {roll('stddev_samp', 'close', 20)} AS close_std20, {roll('avg', 'volume', 20)} AS vma, {roll('min', 'low', 14)} AS lo, {roll('max', 'high', 14)} AS hi,
       greatest(high - low, abs(high - prev), abs(low - prev)) AS tr, {roll('stddev_samp', 'ret', 20)} AS volatility_20, close / lag(close, 60) OVER ({W}) - 1 AS trend, {roll('stddev_samp', 'ret', 60)} AS vol60 FROM base""",
     "checked": f"""SELECT symbol, date, ret AS simple_return, close_ma20, close_std20, (close - close_ma20) / NULLIF(close_std20, 0) AS normalized_close, volume / NULLIF(vma, 0) AS normalized_volume, 4 * close_std20 AS bb_width,
-      100 * ((close - lo) / NULLIF(hi - lo, 0)) AS stoch_k, {roll('avg', 'tr', 14)} AS atr_14, close / lag(close, 20) OVER ({W}) - 1 AS momentum_20, volatility_20,
+      100 * (close - lo) / NULLIF(hi - lo, 0) AS stoch_k, {roll('avg', 'tr', 14)} AS atr_14, close / lag(close, 20) OVER ({W}) - 1 AS momentum_20, volatility_20,
       CASE WHEN trend IS NULL OR vol60 IS NULL THEN NULL WHEN vol60 > 0.13 THEN 3 WHEN trend > 0.02 THEN 2 WHEN trend < -0.02 THEN 0 ELSE 1 END AS market_regime FROM pre""",
 }
 
