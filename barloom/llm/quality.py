@@ -16,8 +16,10 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 
-#: A line ends in one of these, or it is no sentence.
+#: A line ends in one of these, or it is no sentence; a line of more words than that passes with a sentence end inside.
 CLOSERS = ".!?…:;,\"”»’')]"
+OPEN_WORDS = 10
+SENTENCE_END = r"[.!?…][\x20\x09-\x0D]"
 #: A line of this many words at least may be judged by its capitals.
 SHOUT_WORDS = 3
 #: Symbols for each ten words that a line may have.
@@ -95,7 +97,10 @@ def line_fails(line: Column) -> Column:
     def judged(n: Column) -> Column:
         return (
             (symbols_in(line) * 10 > n * SYMBOLS_PER_TEN_WORDS)
-            | (F.instr(F.lit(CLOSERS), F.right(F.btrim(line, F.lit(SPACE)), F.lit(1))) == 0)
+            | (
+                (F.instr(F.lit(CLOSERS), F.right(F.btrim(line, F.lit(SPACE)), F.lit(1))) == 0)
+                & ((n <= OPEN_WORDS) | ~line.rlike(SENTENCE_END))
+            )
             | ((n >= SHOUT_WORDS) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
             | (F.regexp_count(line, F.lit(SEPARATOR)) * SEPARATOR_ONE_IN > n)
             | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
@@ -161,7 +166,8 @@ counted AS (SELECT rid, line, len(regexp_extract_all(line, '{word}')) AS n FROM
 judged AS (
   SELECT rid, line, n, n > 0 AND (
     len(regexp_extract_all(line, '{symbols}')) * 10 > n * {SYMBOLS_PER_TEN_WORDS}
-    OR NOT contains('{quoted}', right(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1))
+    OR (NOT contains('{quoted}', right(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1))
+      AND (n <= {OPEN_WORDS} OR NOT regexp_matches(line, '{SENTENCE_END}')))
     OR (n >= {SHOUT_WORDS} AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
     OR len(regexp_extract_all(line, '{SEPARATOR}')) * {SEPARATOR_ONE_IN} > n
     OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}'))) AS bad
