@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import quality, simhash
+from barloom.llm import hmm, quality, simhash
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
 QUERIES: dict[str, Plan] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_hidden_markov_scores": op9_hidden_markov_scores,
     "op10_quality_rules": op10_quality_rules,
 }
 

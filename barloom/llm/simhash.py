@@ -27,9 +27,9 @@ BLOCK = 1 << 16
 THRESHOLD = 2
 
 
-def fingerprint(text: str | None, *, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the word shingles; 0 where there is no word."""
-    words = (text or "").encode().lower().split()
+def fingerprint(text: bytes | None, *, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a UTF-8 text; 0 where there is no word."""
+    words = (text or b"").lower().split()
     if not words:
         return 0
     k = min(words_per_shingle, len(words))
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in python_batches(batches):
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
