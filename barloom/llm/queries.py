@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import hmm, quality, simhash
+from barloom.llm import hmm, html, ppm, quality, simhash
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ppm.label_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,6 +37,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Plan] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op3_language_id": op3_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_hidden_markov_scores": op9_hidden_markov_scores,
     "op10_quality_rules": op10_quality_rules,
