@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import hmm, html, ppm, quality, simhash
+from barloom.llm import hmm, html, nndescent, ppm, quality, simhash
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.label_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Plan] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_language_id": op3_language_id,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_hidden_markov_scores": op9_hidden_markov_scores,
     "op10_quality_rules": op10_quality_rules,
