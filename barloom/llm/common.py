@@ -102,3 +102,21 @@ def python_batches(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+class Encoded:
+    """A bounded memo from pieces of text to their ids as little-endian 32-bit bytes; new pieces are encoded in batches."""
+
+    def __init__(self, encode, limit: int = 400_000):
+        self.encode, self.limit, self.known = encode, limit, {}
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known = self.known
+        new = list({piece for pieces in texts for piece in pieces if piece not in known})
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            known.update(zip(part, self.encode(part)))
+        get = known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in texts]

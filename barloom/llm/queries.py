@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import hmm, html, nndescent, ppm, quality, simhash
+from barloom.llm import bitplanes, hmm, html, nndescent, ppm, quality, simhash
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,11 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return bitplanes.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ QUERIES: dict[str, Plan] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_language_id": op3_language_id,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_bit_plane_output": op7_bit_plane_output,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_hidden_markov_scores": op9_hidden_markov_scores,
     "op10_quality_rules": op10_quality_rules,
