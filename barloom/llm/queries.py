@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bitplanes, hmm, html, nndescent, ppm, quality, simhash
+from barloom.llm import bitplanes, hmm, html, linedup, nndescent, ppm, quality, simhash
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    short = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return short.select("doc_id", "text", "deleted_lines")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return ppm.label_documents(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Plan] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_bit_plane_output": op7_bit_plane_output,
