@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bitplanes, hmm, html, linedup, nndescent, ppm, quality, simhash
+from barloom.llm import bitplanes, hmm, html, linedup, mixing, nndescent, ppm, quality, simhash, spm
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.label_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "block", "slot", "weight")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spm.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +66,8 @@ QUERIES: dict[str, Plan] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_bit_plane_output": op7_bit_plane_output,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
