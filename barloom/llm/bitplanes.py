@@ -165,7 +165,13 @@ def _encoder(path: str) -> Encoded:
     def encode(pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return Encoded(encode)
+    return Encoded(encode, split=_halves)
+
+
+def _halves(piece: str) -> tuple[str, ...]:
+    """Letters and the full stops or commas after them are pieces of their own in the vocabulary's pattern."""
+    word = piece.rstrip(".,")
+    return (word, piece[len(word) :]) if len(word) < len(piece) and word.lstrip(" ").isalpha() else (piece,)
 
 
 def pieces_of(text: str | None) -> list[str]:

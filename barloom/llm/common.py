@@ -105,18 +105,29 @@ def python_batches(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
 
 
 class Encoded:
-    """A bounded memo from pieces of text to their ids as little-endian 32-bit bytes; new pieces are encoded in batches."""
+    """A bounded memo from pieces of text to their ids as little-endian 32-bit bytes; new pieces are encoded in batches.
 
-    def __init__(self, encode, limit: int = 400_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    ``split`` may cut a piece further where that doesn't change its ids, so that fewer different ones are encoded.
+    """
+
+    def __init__(self, encode, limit: int = 600_000, split=None):
+        self.encode, self.limit, self.split, self.known = encode, limit, split, {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 10_000):
+            part = pieces[at : at + 10_000]
+            self.known.update(zip(part, self.encode(part)))
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
         known = self.known
         new = list({piece for pieces in texts for piece in pieces if piece not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update(zip(part, self.encode(part)))
+        if self.split is None:
+            self._learn(new)
+        else:
+            halves = [self.split(piece) for piece in new]
+            self._learn(list({x for half in halves for x in half if x not in known}))
+            known.update((piece, b"".join(map(known.__getitem__, half))) for piece, half in zip(new, halves) if len(half) > 1)
         get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in texts]
