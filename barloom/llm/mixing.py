@@ -120,7 +120,8 @@ def _ends(docs: DataFrame, sources: DataFrame) -> DataFrame:
             ),
             "ends",
         )
-    return sources.join(asked.select("key", "end"), "key")
+    ends = asked.select("key", F.col("end").alias("found"))
+    return sources.join(ends, "key").withColumn("end", F.when(F.col("rest") < 1, 0).otherwise(F.col("found")))
 
 
 def mix_sources(
