@@ -71,7 +71,7 @@ def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) ->
 
 
 def cells(points: DataFrame, bits: int, seed: int) -> DataFrame:
-    """``points`` with ``cell``: the signs on random planes. Large cells are cut by hash into groups of about GROUP."""
+    """``points`` with ``group``: cells of equal signs on random planes, large ones cut by hash to about GROUP points."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
@@ -90,7 +90,8 @@ def cells(points: DataFrame, bits: int, seed: int) -> DataFrame:
     coded = points.mapInPandas(run, f"{fields}, cell bigint")
     sizes = coded.groupBy("part", "cell").agg(F.count("*").alias("size"))
     cut = F.pmod(F.xxhash64("row", F.lit(seed)), F.greatest(F.ceil(F.col("size") / GROUP), F.lit(1)))
-    return coded.join(sizes, ["part", "cell"]).withColumn("cut", cut).drop("size")
+    # A hash of its own spreads the groups of a large cell over tasks; by (part, cell) they would stay in one.
+    return coded.join(sizes, ["part", "cell"]).withColumn("group", F.xxhash64("part", "cell", cut)).drop("size", "cell")
 
 
 def _bits(count: int, parts: int) -> int:
@@ -121,7 +122,7 @@ def leaders(points: DataFrame, parts: int, cosine: float) -> DataFrame:
     count = points.count()
     for turn in range(LEADER_ROUNDS):
         heads = points.join(members.where("row = leader").select("row"), "row")
-        groups = cells(heads, _bits(count, parts), 100 + turn).groupBy("part", "cell", "cut")
+        groups = cells(heads, _bits(count, parts), 100 + turn).groupBy("part", "group")
         moved = stored(groups.applyInPandas(choose, "row bigint, to bigint").where("row <> to"), "moved")
         to_vec = points.select(F.col("row").alias("to"), F.col("vec").alias("lead"))
         moving = members.join(moved.withColumnRenamed("row", "leader"), "leader").select("row", "to")
@@ -164,7 +165,7 @@ def first_graph(points: DataFrame, bits: int, neighbours: int) -> DataFrame:
         )
 
     found = [
-        cells(points, bits, seed).groupBy("part", "cell", "cut").applyInPandas(nearest, "u bigint, v bigint, s double")
+        cells(points, bits, seed).groupBy("part", "group").applyInPandas(nearest, "u bigint, v bigint, s double")
         for seed in range(TREES)
     ]
     edges = found[0]
@@ -189,7 +190,7 @@ def refine(points: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     known = points.select(F.col("row").alias("v"), "vec").join(lists, "v", "left").na.fill({"k": NEIGHBOURS, "last": -2.0})
     cut = F.pmod(F.xxhash64("v"), F.greatest(F.ceil(F.col("size") / GROUP), F.lit(1)))
-    met = both.join(degree, "u").select("u", "v", cut.alias("cut")).join(known, "v")
+    met = both.join(degree, "u").select(F.xxhash64("u", cut).alias("group"), "v").join(known, "v")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         rows, cos = frame["v"].to_numpy(), _matrix(frame["vec"])
@@ -204,7 +205,7 @@ def refine(points: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
         b = order[a, b]
         return pd.DataFrame({"u": rows[a], "v": rows[b], "s": cos[a, b]})
 
-    new = met.groupBy("u", "cut").applyInPandas(meet, "u bigint, v bigint, s double")
+    new = met.groupBy("group").applyInPandas(meet, "u bigint, v bigint, s double")
     edges = graph.unionByName(new).groupBy("u", "v").agg(F.max("s").alias("s"))
     return _top(edges.join(sizes, "u", "left"), F.coalesce("k", F.lit(NEIGHBOURS))).select("u", "v", "s")
 
