@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Encoded, python_batches, scratch
+from barloom.llm.common import python_batches, scratch
 
 BLOCK = 1 << 16
 LEVEL = 3
@@ -34,36 +35,37 @@ END_ID = 0
 
 #: A blank between two characters that are no white space always starts a new piece of this vocabulary's pattern.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s | \s|\A | \Z")
+#: White space other than blanks and line feeds.
+RARE_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
+#: Words that a worker remembers, and that are encoded at once.
+KNOWN_WORDS = 500_000
+WORDS = 1_000
+#: Characters whose texts are encoded together.
+HELD_CHARACTERS = 1 << 22
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
     """The compressed bit planes of a block, lowest first; a plane of zeros is empty, planes above the last used are left out."""
     width = int(ids.max()).bit_length() if len(ids) else 0
-    if not width:
-        return []
-    octets = (width + 7) // 8
-    low = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :octets])
-    bits = np.unpackbits(low, axis=1, bitorder="little")[:, :width]
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
     press = zstandard.ZstdCompressor(level=LEVEL)
-    return [press.compress(p.tobytes()) if p.any() else b"" for p in planes]
+    narrow = ids.astype(np.uint16 if width <= 16 else np.uint32)
+    planes = []
+    for b in range(width):
+        bits = (narrow & narrow.dtype.type(1 << b)).astype(bool)
+        planes.append(press.compress(np.packbits(bits, bitorder="little").tobytes()) if bits.any() else b"")
+    return planes
 
 
 def unpack(planes: list[bytes], n: int) -> np.ndarray:
     """The ids of a block."""
-    out = np.zeros((n, 4), np.uint8)
-    if planes:
-        size = (n + 7) // 8
-        press = zstandard.ZstdDecompressor()
-        raw = np.zeros((-(-len(planes) // 8) * 8, size), np.uint8)
-        for b, plane in enumerate(planes):
-            if plane:
-                raw[b] = np.frombuffer(press.decompress(plane, max_output_size=size), np.uint8)
-        bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :n]
-        octets = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-        out[:, : octets.shape[1]] = octets
-    return out.reshape(-1).view("<u4")
+    kind = np.uint16 if len(planes) <= 16 else np.uint32
+    out = np.zeros(n, kind)
+    press = zstandard.ZstdDecompressor()
+    for b, plane in enumerate(planes):
+        if plane:
+            octets = np.frombuffer(press.decompress(plane, max_output_size=(n + 7) // 8), np.uint8)
+            out |= np.unpackbits(octets, count=n, bitorder="little").astype(kind) << kind(b)
+    return out.astype("<u4")
 
 
 class Writer:
@@ -157,29 +159,106 @@ class Reader:
             yield doc_id, pieces(n), n
 
 
-def _encoder(path: str) -> Encoded:
-    from tokenizers import Tokenizer
+def words_of(text: str) -> list[str]:
+    """A text cut where the vocabulary's pattern always cuts.
 
-    tokenizer = Tokenizer.from_file(path)
+    Every part but the first had a blank before it, or starts with its line feed.
+    """
+    odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+    if odd or any(c in text for c in RARE_SPACES):
+        return CUT.split(text)
+    return text.replace("\n", " \n").split(" ")
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return Encoded(encode, split=_halves)
+#: Byte-level vocabularies write byte b as character b if that is printable Latin-1, and the others as 256, 257, ...
+PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+BLANK = chr(BYTE_CHARACTERS[32])
+#: Letters below this are one class in the vocabulary's pattern, whatever the edition of Unicode.
+LATIN = "\u0250"
 
 
-def _halves(piece: str) -> tuple[str, ...]:
-    """Letters and the full stops or commas after them are pieces of their own in the vocabulary's pattern."""
-    word = piece.rstrip(".,")
-    return (word, piece[len(word) :]) if len(word) < len(piece) and word.lstrip(" ").isalpha() else (piece,)
+class Encoder:
+    """Encodes texts with the tokenizers library; each different word is encoded once while it is remembered.
 
+    A word of Latin letters is one piece of the vocabulary's pattern, as are full stops and commas after it, and goes
+    straight to the library's model. Other words are encoded together, as one text, and told apart by the lengths of
+    their pieces in bytes. When the memory is full, words that came up again since the last time stay.
+    """
 
-def pieces_of(text: str | None) -> list[str]:
-    """A text cut where the vocabulary's pattern always cuts; every piece but the first keeps its blank."""
-    if not text:
-        return []
-    parts = CUT.split(text) if ODD.search(text) else text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words come once; looking them up in the library's cache costs more
+        vocabulary = self.tokenizer.get_vocab()
+        # Vocabulary pieces have one character for each byte.
+        self.octets = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, i in vocabulary.items():
+            self.octets[i] = len(piece)
+        self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.stops: dict[str, bytes] = {"": b""}
+        self.feed = self._ids("\n").tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a blank (or line feed) and a word of Latin letters, full stops and commas at its end; None for other words."""
+        blank, feed = BLANK, b""
+        if word[0] == "\n":
+            blank, feed, word = "", self.feed, word[1:]
+        bare = word.rstrip(".,")
+        if not bare.isalpha() or not (bare.isascii() or max(bare) < LATIN):
+            return None
+        stops = word[len(bare) :]
+        if stops not in self.stops:
+            if len(self.stops) > 1000:
+                self.stops = {"": b""}
+            self.stops[stops] = self._ids(stops).tobytes()
+        piece = bare if bare.isascii() else bare.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return feed + array("I", [t.id for t in self.model.tokenize(blank + piece)]).tobytes() + self.stops[stops]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember words of any kind."""
+        for word in words:
+            if word[0] == "\n":
+                self.known[word] = self._ids(word).tobytes()
+        words = [w for w in words if w[0] != "\n"]
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            ids = self._ids(" " + " ".join(part))
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            cuts = (4 * (np.searchsorted(np.cumsum(self.octets[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+
+    def _forget(self) -> None:
+        kept = {w: self.known[w] for w in self.again if w in self.known}
+        self.known = kept if len(kept) < 0.75 * KNOWN_WORDS else {}
+        self.again = set()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        cut = [words_of(t) if t else [""] for t in texts]
+        first = [words[0] for words in cut]
+        for words in cut:
+            words[0] = ""
+        different = set().union(*cut)
+        different.discard("")
+        old = different & self.known.keys()
+        self.again |= old
+        new = list(different - old)
+        found = [self._letters(w) for w in new]
+        self.known.update((w, x) for w, x in zip(new, found) if x is not None)
+        self._learn([w for w, x in zip(new, found) if x is None])
+        self.known[""] = b""
+        get = self.known.__getitem__
+        return [(self._ids(w).tobytes() if w else b"") + b"".join(map(get, words)) for w, words in zip(first, cut)]
 
 
 def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -199,15 +278,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = _filesystem(path)
         files.create_dir(folder)
-        encoder, writer = _encoder(tokenizer), None
+        encoder, writer = Encoder(tokenizer), None
         k = TaskContext.get().partitionId()
         final, own = f"{folder}/part-{k:06d}.bp", f"{folder}/.part-{k:06d}-{uuid.uuid4().hex}"
         end = np.array([END_ID], "<u4").tobytes()
+        held: list[tuple[int | None, str | None]] = []
+        size = 0
+
+        def flush() -> None:
+            for (doc_id, _), ids in zip(held, encoder.encode([t for _, t in held])):
+                writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            held.clear()
+
         for batch in python_batches(batches):
             writer = writer or Writer(files.open_output_stream(own))
-            texts = [pieces_of(t) for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts)):
-                writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc_id, text))
+                size += len(text or "")
+                if size >= HELD_CHARACTERS:
+                    flush()
+                    size = 0
+        if held:
+            flush()
         if writer:
             writer.close()
             files.move(own, final)

@@ -475,12 +475,12 @@ def test_bit_plane_defined_cases(spark):
 def test_cuts_do_not_change_ids():
     import public_tokenizers
 
-    encoder = bitplanes._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = bitplanes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(4)
     for _ in range(500):
         text = "".join(rng.choice(["a", "word", " ", "  ", "\n", "\t", ".", ",", "'s", "é", "12", "²", " ", "\x1c"]) for _ in range(rng.randrange(12)))
-        ids = np.frombuffer(encoder.ids([bitplanes.pieces_of(text)])[0], "<u4").tolist()
+        ids = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
