@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import python_batches, remainder, stored
 
@@ -222,8 +223,8 @@ def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text", keep: tup
             )
 
     picked = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
-    return picked.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return picked.mapInArrow(run, schema)
 
 
 def held_out(id_col: str):
