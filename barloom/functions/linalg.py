@@ -10,9 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.guards import collect_bounded
-
-MAX_COLUMNS = 512
 
 
 @dataclass(frozen=True)
@@ -41,18 +38,18 @@ class MomentTable:
 
 
 def moments(df: DataFrame, features: Sequence[str], target: str, group: str) -> MomentTable:
-    """One matrix per value of ``group`` (few), from one pass after a pass for means and deviations.
+    """One matrix per value of ``group``, from one pass after a pass for means and deviations.
 
-    Every task folds its rows into one matrix per group, so the shuffle carries
-    tasks x groups x (p + 2)^2 numbers whatever the row count.
+    Every task folds its rows into the upper triangle of one matrix per group, and the triangles are added in the
+    cluster: the shuffle carries tasks x groups x (p + 2)^2 / 2 numbers whatever the row count, and the driver gets
+    one array per group.
     """
     columns = [*features, target]
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns")
     stats = df.agg(*[a for c in columns for a in (F.avg(c), F.stddev_pop(c))]).first()
     center = np.array([v if v is not None else 0.0 for v in stats[0::2]], dtype=float)
     spread = np.array([v if v else 1.0 for v in stats[1::2]], dtype=float)
     size = len(columns) + 1
+    upper = np.triu_indices(size)
 
     def fold(batches):
         totals: dict[str, np.ndarray] = {}
@@ -62,18 +59,19 @@ def moments(df: DataFrame, features: Sequence[str], target: str, group: str) ->
                 m = np.column_stack([np.ones(len(z)), z])
                 totals[name] = totals.get(name, 0.0) + m.T @ m
         if totals:
-            yield pd.DataFrame({"_g": list(totals), "m": [t.ravel() for t in totals.values()]})
+            yield pd.DataFrame({"_g": list(totals), "m": [t[upper] for t in totals.values()]})
 
     partial = df.select(F.col(group).cast("string").alias("_g"), *columns).na.drop().mapInPandas(
         fold, "_g STRING, m ARRAY<DOUBLE>"
     )
     summed = partial.select("_g", F.posexplode("m").alias("i", "v")).groupBy("_g", "i").agg(F.sum("v").alias("v"))
-    found: dict[str, np.ndarray] = {}
-    for row in collect_bounded(summed, limit=100 * size * size):
-        found.setdefault(row["_g"], np.zeros(size * size))[row["i"]] = row["v"]
-    return MomentTable(
-        tuple(features), center, spread, {g: Moments(v.reshape(size, size)) for g, v in found.items()}
-    )
+    packed = summed.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m"))
+    found: dict[str, Moments] = {}
+    for row in packed.select("_g", F.col("m.v").alias("m")).collect():  # one row per group
+        matrix = np.zeros((size, size))
+        matrix[upper] = row["m"]
+        found[row["_g"]] = Moments(matrix + np.triu(matrix, 1).T)
+    return MomentTable(tuple(features), center, spread, found)
 
 
 def least_squares(

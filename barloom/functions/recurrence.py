@@ -151,6 +151,11 @@ def _ewm_dense(df: DataFrame, specs: list[Ewm], symbol_col: str, date_col: str)
     return df.drop(*[c for c in df.columns if c.startswith("_lr_")])
 
 
+def ewm_halo(specs: list[Ewm], tolerance: float = 1e-18) -> int:
+    """Rows after which the start of a block weighs less than ``tolerance`` in every mean."""
+    return max(math.ceil(math.log(tolerance) / math.log1p(-s.alpha)) if s.alpha < 1 else 1 for s in specs)
+
+
 def ewm(
     df: DataFrame,
     specs: list[Ewm],

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.guards import collect_bounded
 from barloom.functions.linalg import least_squares, moments
 from barloom.operators.metrics import metric_bundle
 from barloom.sources.sinks import materialize
@@ -67,17 +66,25 @@ def default_plan(
     return plan
 
 
+#: Fits a model on (rows with a split, features); the model has an ``expression()`` for its prediction.
+ModelFactory = Callable[[DataFrame, Sequence[str]], "object"]
+
+
 def ablation_predictions(
-    df: DataFrame, features: Sequence[str], plan: Mapping[str, Sequence[str]], *, target: str = "target"
+    df: DataFrame,
+    features: Sequence[str],
+    plan: Mapping[str, Sequence[str]],
+    *,
+    target: str = "target",
+    model_factory: ModelFactory | None = None,
 ) -> DataFrame:
     """(name, split, symbol, date, y_true, y_base, y_pred) of the full model and of every ablation.
 
-    One moment pass serves all variants: each is the solve of a sub-matrix. All variants are
-    predicted in the one scan that reads the rows.
+    One moment pass serves all variants of least squares: each is the solve of a sub-matrix. With a
+    ``model_factory`` every variant is fitted by it. All variants are predicted in the one scan that reads the rows.
     """
     df = materialize(df.select("split", "symbol", "date", *features, target), "model-frame")
-    table = moments(df.where("split = 'train'"), features, target, "split")
-    train = table.groups["train"]
+    table = None if model_factory else moments(df.where("split = 'train'"), features, target, "split")
     variants = {"full_feature_set": list(range(len(features)))}
     for name, removed in plan.items():
         keep = [i for i, c in enumerate(features) if c not in set(removed)]
@@ -85,7 +92,9 @@ def ablation_predictions(
             variants[name] = keep
 
     def dot(keep):
-        intercept, coef = least_squares(table, train, keep=keep)
+        if model_factory:
+            return model_factory(df, [features[i] for i in keep]).expression()
+        intercept, coef = least_squares(table, table.groups["train"], keep=keep)
         total = F.lit(intercept)
         for i in keep:
             total = total + F.col(features[i]) * F.lit(float(coef[i]))
@@ -113,50 +122,53 @@ def paired_stats(predictions: DataFrame) -> DataFrame:
     return s.withColumn("t_statistic", t).drop("_sd")
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    h = d
-    for m in range(1, 500):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for coef in (even, odd):
-            d = 1.0 + coef * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + coef / c
-            c = c if abs(c) > tiny else tiny
-            h *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return h
-
-
-def t_test_p_value(t: float, n: int) -> float | None:
-    """Two-sided p-value of a t statistic with n - 1 degrees of freedom."""
-    if t is None or n < 2:
-        return None
-    v = n - 1.0
+# Lanczos coefficients of the gamma function for g = 7.
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+BETA_STEPS = 1000
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z >= 0.5."""
+    x = z - 1.0
+    total = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        total = total + c / (x + float(i))
+    t = x + 7.5
+    return 0.5 * math.log(2.0 * math.pi) + (x + 0.5) * F.ln(t) - t + F.ln(total)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, evaluated from its tail inwards."""
+
+    def step(value: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        return 1.0 + F.when(k % 2 == 0, even).otherwise(odd) / value
+
+    return 1.0 / F.aggregate(F.sequence(F.lit(BETA_STEPS), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+
+
+def t_test_p_value(t: Column, n: Column) -> Column:
+    """Two-sided p-value of a t statistic with n - 1 degrees of freedom; NULL for n < 2."""
+    v = n.cast("double") - 1.0
     x = v / (v + t * t)
-    if x >= 1.0:
-        return 1.0
-    a, b = v / 2.0, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    a, b = v / 2.0, F.lit(0.5)
+    front = F.exp(
+        log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(t * t / (v + t * t))
+    )
+    low = front * _beta_fraction(a, b, x) / a
+    high = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    found = F.when(x >= 1.0, 1.0).when(x < (a + 1.0) / (a + b + 2.0), low).otherwise(high)
+    return F.when((n >= 2) & t.isNotNull(), found)
 
 
 def paired_ttest(predictions: DataFrame) -> DataFrame:
-    """``paired_stats`` with the p-value, which is computed on the driver for the few result rows."""
-    stats = paired_stats(predictions)
-    rows = [
-        (r["name"], r["split"], r["n"], r["mean_difference"], r["t_statistic"], t_test_p_value(r["t_statistic"], r["n"]))
-        for r in collect_bounded(stats, limit=10_000)
-    ]
-    return predictions.sparkSession.createDataFrame(
-        rows, "name STRING, split STRING, n BIGINT, mean_difference DOUBLE, t_statistic DOUBLE, p_value DOUBLE"
-    )
+    """``paired_stats`` with the p-value."""
+    return paired_stats(predictions).withColumn("p_value", t_test_p_value(F.col("t_statistic"), F.col("n")))
 
 
 METRICS = ("mae", "rmse", "mape", "directional_accuracy", "sharpe_ratio", "information_coefficient")

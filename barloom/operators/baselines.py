@@ -5,8 +5,11 @@ Predictions are long rows (model, split, symbol, date, y_true, y_pred).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -35,9 +38,8 @@ def random_walk(df: DataFrame, *, target: str = "target") -> DataFrame:
 
 def historical_mean(df: DataFrame, *, target: str = "target") -> DataFrame:
     """The mean training target."""
-    mean = df.where("split = 'train'").agg(F.lit(0).alias("_one"), F.avg(target).alias("_mean"))
-    joined = df.withColumn("_one", F.lit(0)).join(F.broadcast(mean), "_one")
-    return _as_predictions(joined, "historical_mean", F.col("_mean"), target)
+    mean = df.where("split = 'train'").agg(F.avg(target)).first()[0]
+    return _as_predictions(df, "historical_mean", F.lit(mean).cast("double"), target)
 
 
 @dataclass(frozen=True)
@@ -215,6 +217,109 @@ def arima_111(df: DataFrame, *, target: str = "target", min_rows: int = 10) -> D
     return out.select(F.lit("arima_111").alias("model"), *KEYS, "y_true", "y_pred")
 
 
+class Baseline(Protocol):
+    """What all baselines have in common: fit on the training rows, predict validation and test."""
+
+    name: str
+    hyperparameters: dict
+
+    def fit(self, df: DataFrame) -> "Baseline": ...
+
+    def predict(self, df: DataFrame) -> DataFrame: ...
+
+
+@dataclass
+class RandomWalk:
+    target: str = "target"
+    name: str = "random_walk"
+    hyperparameters: dict = field(default_factory=dict)
+
+    def fit(self, df: DataFrame) -> "RandomWalk":
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return random_walk(df, target=self.target)
+
+
+@dataclass
+class HistoricalMean:
+    target: str = "target"
+    name: str = "historical_mean"
+    hyperparameters: dict = field(default_factory=dict)
+
+    def fit(self, df: DataFrame) -> "HistoricalMean":
+        self.hyperparameters["mean"] = df.where("split = 'train'").agg(F.avg(self.target)).first()[0]
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return _as_predictions(df, self.name, F.lit(self.hyperparameters["mean"]).cast("double"), self.target)
+
+
+@dataclass
+class LinearRegression:
+    """Least squares, or ridge where ``alphas`` are given."""
+
+    features: Sequence[str]
+    target: str = "target"
+    alphas: Sequence[float] | None = None
+    model: LinearModel | None = None
+
+    @property
+    def name(self) -> str:
+        return "linear_regression" if self.alphas is None else "ridge_regression"
+
+    @property
+    def hyperparameters(self) -> dict:
+        return self.model.hyperparameters if self.model else {}
+
+    def fit(self, df: DataFrame) -> "LinearRegression":
+        if self.alphas is None:
+            self.model = fit_linear(df, self.features, target=self.target)
+        else:
+            self.model = fit_ridge(df, self.features, target=self.target, alphas=self.alphas)
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise ValueError("fit first")
+        return self.model.predict(df, target=self.target)
+
+
+@dataclass
+class Arima111:
+    """One fit per symbol, made where its forecasts are."""
+
+    target: str = "target"
+    name: str = "arima_111"
+    hyperparameters: dict = field(default_factory=lambda: {"order": [1, 1, 1]})
+
+    def fit(self, df: DataFrame) -> "Arima111":
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return arima_111(df, target=self.target)
+
+
+def fit_predict(models: Sequence[Baseline], df: DataFrame) -> DataFrame:
+    """Predictions of several baselines, each fitted on ``df`` first."""
+    return reduce(DataFrame.unionByName, [m.fit(df).predict(df) for m in models])
+
+
+def fit_report(models: Sequence[Baseline], df: DataFrame) -> DataFrame:
+    """(model, hyperparameters as JSON, first and last date and rows of each split) of fitted baselines."""
+    spans = [
+        a
+        for s in ("train", "validation")
+        for a in (
+            F.min(F.when(F.col("split") == s, F.col("date"))).alias(f"{s}_start_date"),
+            F.max(F.when(F.col("split") == s, F.col("date"))).alias(f"{s}_end_date"),
+            F.count_if(F.col("split") == s).alias(f"{s}_rows"),
+        )
+    ]
+    cells = F.array(*[F.struct(F.lit(m.name).alias("model"), F.lit(json.dumps(m.hyperparameters)).alias("hyperparameters")) for m in models])
+    return df.agg(*spans).select("*", F.inline(cells))
+
+
 def xy_mismatches(x: DataFrame, y: DataFrame, *, on: Sequence[str] = ("symbol", "date")) -> DataFrame:
     """Rows with features but no target, and the other way round; both must be 0 before a fit."""
     left = x.select(*on).withColumn("_x", F.lit(1))

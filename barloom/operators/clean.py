@@ -68,7 +68,9 @@ def severity(ret: Column) -> Column:
 def spike_return(threshold: float) -> tuple[Column, Column]:
     """(previous close, return) against the last non-null close; NULL unless the move is a spike."""
     prev = F.last("close", True).over(before(series_window()))
-    ret = ratio(F.col("close"), prev) - 1.0
+    # From zero to anything else is an infinite move, as large as a spike can be.
+    jump = F.signum("close") * F.lit(float("inf"))
+    ret = F.when((prev == 0) & (F.col("close") != 0), jump).otherwise(ratio(F.col("close"), prev) - 1.0)
     return prev, F.when(F.abs(ret) > threshold, ret)
 
 
@@ -636,6 +638,15 @@ def transformation_log(
     return steps.select("symbol", "date", F.inline(rows))
 
 
+def audit_totals(log: DataFrame) -> DataFrame:
+    """All changes, and the symbols they touched, sorted; one row."""
+    return log.agg(
+        F.count(F.lit(1)).alias("changes"),
+        F.countDistinct("symbol").alias("symbols"),
+        F.array_sort(F.collect_set("symbol")).alias("symbol_list"),
+    )
+
+
 def audit_stats(log: DataFrame) -> DataFrame:
     """Changes and distinct symbols per kind of change."""
     return log.groupBy("transformation_type").agg(

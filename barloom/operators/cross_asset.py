@@ -33,9 +33,12 @@ def market_features(
     *,
     correlation_window: int = 60,
     high_volatility_threshold: float = 0.25,
+    regime_column: str = "spy_market_regime",
 ) -> DataFrame:
     """Add relative strength, sector correlation, and the market's regime and annualised volatility.
 
+    The regime of the market has a name of its own: ``market_regime`` is that of the symbol itself.
+
     The market series are first put on each symbol's own dates.
     """
     n, w = correlation_window, series_window()
@@ -62,7 +65,7 @@ def market_features(
         vol_threshold=high_volatility_threshold,
         return_threshold=0.02,
     )
-    return df.withColumn("market_regime", regime).drop("_spy", "_etf", "_ret", "_spy_ret", "_etf_ret", "_trend")
+    return df.withColumn(regime_column, regime).drop("_spy", "_etf", "_ret", "_spy_ret", "_etf_ret", "_trend")
 
 
 def relative_strength(df: DataFrame, market: DataFrame, *, ticker: str = BENCHMARK, period: int = 60) -> DataFrame:
@@ -124,7 +127,7 @@ def _window_corr(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _tile_top(left: pd.DataFrame, right: pd.DataFrame, window: int, top: int) -> pd.DataFrame:
+def _tile_top(left: pd.DataFrame, right: pd.DataFrame, window: int, top: int, latest: bool = False) -> pd.DataFrame:
     """Best ``top`` peers among the symbols of ``right`` for every bar of ``left``."""
     grid = right.pivot(index="peer_date", columns="peer", values="peer_close").sort_index(axis=1)
     names = grid.columns.to_numpy()
@@ -135,29 +138,46 @@ def _tile_top(left: pd.DataFrame, right: pd.DataFrame, window: int, top: int) ->
             mine = own["close"].to_numpy(dtype=float)
             x = np.concatenate([[np.nan], mine[1:] / mine[:-1] - 1.0])
             y = np.vstack([np.full((1, closes.shape[1]), np.nan), closes[1:] / closes[:-1] - 1.0])
-        corr = _window_corr(x, y, window)
+        if latest:
+            x, y, own = x[-window:], y[-window:], own.tail(1)
+            corr = _window_corr(x, y, window)[-1:]
+        else:
+            corr = _window_corr(x, y, window)
         corr[:, names == symbol] = np.nan
         rank = np.argsort(np.where(np.isnan(corr), np.inf, -corr), axis=1, kind="stable")[:, :top]
         best = np.take_along_axis(corr, rank, axis=1)
-        rows = [
-            [(float(c), str(names[j])) for c, j in zip(cs, js) if c == c] for cs, js in zip(best, rank)
-        ]
-        done.append(pd.DataFrame({"symbol": symbol, "date": own["date"].to_numpy(), "best": rows}))
-    columns = ["symbol", "date", "best"]
-    return pd.concat(done)[columns] if done else pd.DataFrame(columns=columns)
+        # One row for each place; the first stays without a peer too, so that no bar is lost.
+        flat = pd.DataFrame(
+            {
+                "symbol": symbol,
+                "date": np.repeat(own["date"].to_numpy(), rank.shape[1]),
+                "correlation": best.ravel(),
+                "peer": names[rank].ravel(),
+                "place": np.tile(np.arange(rank.shape[1]), len(rank)),
+            }
+        )
+        done.append(flat[flat["correlation"].notna() | (flat["place"] == 0)][TILE_COLUMNS])
+    return pd.concat(done) if done else pd.DataFrame(columns=TILE_COLUMNS)
 
 
-BEST = "array<struct<correlation:double,peer:string>>"
+TILE_COLUMNS = ["symbol", "date", "correlation", "peer"]
 
 
 def ranked_peers(
-    df: DataFrame, registry: DataFrame, *, correlation_window: int = 60, top_peers: int = 5, tile: int = 64
+    df: DataFrame,
+    registry: DataFrame,
+    *,
+    correlation_window: int = 60,
+    top_peers: int = 5,
+    tile: int = 64,
+    latest: bool = False,
 ) -> DataFrame:
     """(symbol, date, best): the strongest same-sector correlations of every bar, best first.
 
     A sector is cut into tiles of about ``tile`` symbols. Each task gets two tiles, whatever
     the sector's size, and returns only its ``top_peers`` per bar; a last aggregation merges
-    the tiles. No pair of symbols is ever a row.
+    the tiles. No pair of symbols is ever a row. With ``latest`` only the last bar of each symbol
+    is compared (over the whole history, from which missing closes of peers are carried forward).
     """
     rows = with_sector(df.select("symbol", "date", "close"), registry).where(F.col("sector").isNotNull())
     sizes = rows.select("symbol", "sector").distinct().groupBy("sector").agg(
@@ -178,7 +198,7 @@ def ranked_peers(
         F.col("close").alias("peer_close"),
     )
     per_tile = left.groupBy(*keys).cogroup(right.groupBy("_sector", "_row", "_column")).applyInPandas(
-        lambda a, b: _tile_top(a, b, correlation_window, top_peers), f"symbol STRING, date DATE, best {BEST}"
+        lambda a, b: _tile_top(a, b, correlation_window, top_peers, latest), "symbol STRING, date DATE, correlation DOUBLE, peer STRING"
     )
     order = lambda a, b: (
         F.when(a["correlation"] > b["correlation"], -1)
@@ -187,7 +207,8 @@ def ranked_peers(
         .when(a["peer"] > b["peer"], 1)
         .otherwise(0)
     )
-    merged = F.array_sort(F.flatten(F.collect_list("best")), order)
+    found = F.when(F.col("correlation").isNotNull() & ~F.isnan("correlation"), F.struct("correlation", "peer"))
+    merged = F.array_sort(F.collect_list(found), order)
     return per_tile.groupBy("symbol", "date").agg(F.slice(merged, 1, top_peers).alias("best"))
 
 
@@ -206,7 +227,7 @@ def peer_topk(df: DataFrame, registry: DataFrame, *, top_peers: int = 5, **optio
 
 def latest_top_peers(df: DataFrame, registry: DataFrame, **options) -> DataFrame:
     """The strongest peers on the last date of each symbol, best first."""
-    best = ranked_peers(df, registry, **options)
+    best = ranked_peers(df, registry, latest=True, **options)
     last = best.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("best", "date").alias("best"))
     return last.select("symbol", "date", F.posexplode("best").alias("_k", "_p")).select(
         "symbol", "date", (F.col("_k") + 1).alias("rank"), F.col("_p.peer").alias("peer"), "_p.correlation"

@@ -29,14 +29,14 @@ def fingerprint(features: Sequence[str]) -> Column:
     return F.bit_xor(F.xxhash64("symbol", "date", *[F.col(c).cast("double") for c in features]))
 
 
-def _fit_any(df: DataFrame, features: Sequence[str], scope: str) -> DataFrame:
+def _fit_by(df: DataFrame, features: Sequence[str], key: Column) -> DataFrame:
     aggs: list[Column] = []
     clean = F.lit(True)
     for c in features:
         sd = F.stddev_pop(c)
         aggs += [F.avg(c).alias(f"mean_{c}"), F.when(sd == 0, 1.0).otherwise(sd).alias(f"scale_{c}")]
         clean = clean & _finite(c)
-    return df.groupBy(_scope_key(scope).alias("scope")).agg(
+    return df.groupBy(key).agg(
         *aggs,
         F.count(F.lit(1)).alias("fit_rows"),
         F.count_if(~clean).alias("bad_rows"),
@@ -53,7 +53,7 @@ def scaler_fit(df: DataFrame, features: Sequence[str], *, split_name: str = "tra
     """
     if split_name != "train":
         raise ValueError("a scaler is fitted on the training split only")
-    fitted = _fit_any(df.where(F.col("split") == "train"), features, scope)
+    fitted = _fit_by(df.where(F.col("split") == "train"), features, _scope_key(scope).alias("scope"))
     refused = F.raise_error(F.lit("training features hold missing or infinite values"))
     checked = F.when(F.col("bad_rows") > 0, refused.cast("bigint")).otherwise(F.col("fit_rows"))
     return fitted.withColumn("fit_rows", checked).withColumn("fit_split", F.lit("train")).drop("bad_rows")
@@ -78,9 +78,12 @@ def scaler_apply(df: DataFrame, params: DataFrame, features: Sequence[str], *, s
     stats = params.select(
         F.col("scope").alias("_scope"), *[F.col(f"{k}_{c}").alias(f"_{k}_{c}") for c in features for k in ("mean", "scale")]
     )
-    # One row, or one per symbol.
-    side = F.broadcast(stats) if scope == "global" else broadcast_if_small(stats)
-    joined = df.withColumn("_scope", _scope_key(scope)).join(side, "_scope")
+    if scope == "global":
+        row = params.where("scope = '*'").first()  # one row
+        if row is None:
+            return df.limit(0)
+        return df.withColumns({c: (F.col(c) - F.lit(row[f"mean_{c}"])) / F.lit(row[f"scale_{c}"]) for c in features})
+    joined = df.withColumn("_scope", _scope_key(scope)).join(stats, "_scope")
     scaled = {c: (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_scale_{c}") for c in features}
     helpers = [f"_{k}_{c}" for c in features for k in ("mean", "scale")]
     return joined.withColumns(scaled).drop("_scope", *helpers)
@@ -95,12 +98,11 @@ def scaler_verify(df: DataFrame, params: DataFrame, features: Sequence[str]) ->
 
     On train it must (same rows, same fingerprint, same statistics); on the others it must not.
     """
-    refit = None
-    for name in ("train", "validation", "test"):
-        one = _fit_any(df.where(F.col("split") == name), features, "global").withColumn("split", F.lit(name))
-        refit = one if refit is None else refit.unionByName(one)
-    given = params.select(*[F.col(c).alias(f"g_{c}") for c in params.columns])
-    both = refit.join(F.broadcast(given), F.col("scope") == F.col("g_scope"))
+    refit = _fit_by(df.where(F.col("split").isin("train", "validation", "test")), features, F.col("split").alias("split"))
+    given = params.where("scope = '*'").first()  # one row
+    if given is None:
+        return refit.limit(0).select("split", F.col("fit_rows").alias("row_count"), *[F.lit(True).alias(c) for c in ("same_statistics", "same_rows", "passed")])
+    both = refit.withColumns({f"g_{c}": F.lit(given[c]) for c in params.columns})
     same = F.lit(True)
     for c in features:
         same = same & _close(F.col(f"mean_{c}"), F.col(f"g_mean_{c}")) & _close(F.col(f"scale_{c}"), F.col(f"g_scale_{c}"))

@@ -18,24 +18,25 @@ def log_close() -> Column:
     return F.when(F.col("close") > 0, F.ln("close"))
 
 
-def gain_table(process_variance: float, measurement_variance: float) -> list[tuple[float, float, float]]:
-    """(gain, innovation variance, filtered variance) by row, up to where they stop changing.
+def filtered_variance(n: Column, process_variance: float, measurement_variance: float) -> Column:
+    """Variance of the level after ``n`` updates (measurement_variance at 0).
 
-    They depend on the row number only. Without process noise they never settle and have a
-    closed form instead, so the table is not used.
+    One update is a fractional linear map with two fixed points; the ratio of the distances to them shrinks by the
+    same factor each time.
     """
     q, r = process_variance, measurement_variance
-    rows, variance = [], r
-    while len(rows) < 200_000:
-        predicted = variance + q
-        spread = predicted + r
-        gain = predicted / spread
-        settled = bool(rows) and abs(gain - rows[-1][0]) <= 1e-16 * gain
-        variance = (1.0 - gain) * predicted
-        rows.append((gain, spread, variance))
-        if settled:
-            break
-    return rows
+    high = (math.sqrt(q * q + 4.0 * q * r) - q) / 2.0
+    low = -(q + high)
+    rate = math.log1p(-(high - low) / (r - low))
+    ratio = F.exp((n + 1.0) * rate)
+    return (high - ratio * low) / -F.expm1((n + 1.0) * rate)
+
+
+def steady_gain(process_variance: float, measurement_variance: float) -> float:
+    """The gain that the filter settles at."""
+    q, r = process_variance, measurement_variance
+    predicted = (math.sqrt(q * q + 4.0 * q * r) + q) / 2.0
+    return predicted / (predicted + r)
 
 
 def kalman(df: DataFrame, *, process_variance: float = 1e-5, measurement_variance: float = 1e-3) -> DataFrame:
@@ -55,11 +56,12 @@ def kalman(df: DataFrame, *, process_variance: float = 1e-5, measurement_varianc
         variance = measurement_variance / (n + 1.0)
         unit = 0.0
     else:
-        table = gain_table(process_variance, measurement_variance)
-        at = F.least(F.col("_row"), F.lit(len(table)))
-        columns = [F.array(*[F.lit(x) for x in col]) for col in zip(*table)]
-        gain, spread, variance = (F.element_at(c, at) for c in columns)
-        unit = -math.log1p(-table[-1][0])
+        n = F.col("_row").cast("double")
+        predicted = filtered_variance(n - 1.0, process_variance, measurement_variance) + process_variance
+        spread = predicted + measurement_variance
+        gain = predicted / spread
+        variance = filtered_variance(n, process_variance, measurement_variance)
+        unit = -math.log1p(-steady_gain(process_variance, measurement_variance))
     df = df.withColumns({"_gain": gain, "_spread": spread, "kalman_variance": variance})
     # The first row starts the level at its own observation.
     extra = F.when(F.col("_row") > 1, -F.log1p(-F.col("_gain")) - unit)

@@ -48,17 +48,11 @@ def split_cutoffs(
 def chrono_split(
     df: DataFrame, *, train_ratio: float = 0.70, val_ratio: float = 0.15, date_col: str = "date"
 ) -> DataFrame:
-    """Label every row train, validation or test by shared date cut-offs."""
-    cut = split_cutoffs(df, train_ratio=train_ratio, val_ratio=val_ratio, date_col=date_col).select(
-        F.lit(0).alias("_one"), "train_end_date", "val_end_date"
-    )
+    """Label every row train, validation or test by shared date cut-offs, which are looked up at once (one row)."""
+    cut = split_cutoffs(df, train_ratio=train_ratio, val_ratio=val_ratio, date_col=date_col).first()
     day = F.to_date(date_col)
-    label = (
-        F.when(day <= F.col("train_end_date"), "train").when(day <= F.col("val_end_date"), "validation").otherwise("test")
-    )
-    # The cut-offs are one row.
-    marked = df.withColumn("_one", F.lit(0)).join(F.broadcast(cut), "_one")
-    return marked.withColumn("split", label).drop("_one", "train_end_date", "val_end_date")
+    label = F.when(day <= F.lit(cut["train_end_date"]), "train").when(day <= F.lit(cut["val_end_date"]), "validation")
+    return df.withColumn("split", label.otherwise("test"))
 
 
 def split_metadata(df: DataFrame) -> DataFrame:

@@ -376,6 +376,15 @@ ENTRIES: dict[str, Entry] = {
         keys="symbols raw_rows cleaned_rows forward_fills spikes_corrected ohlc_corrections adjustments rows_removed missing_values date_gaps".split(),
         digits={"avg_completeness": 6},
     ),
+    "audit_totals": entry(
+        lambda spark, sf: clean.audit_totals(_log(spark, sf)).withColumn("symbol_list", F.array_join("symbol_list", ",")),
+        _report_sql(
+            "SELECT count(*) AS changes, count(DISTINCT symbol) AS symbols, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbol_list FROM ("
+            "SELECT symbol FROM (SELECT symbol, unnest(range(nf)) FROM adjusted) UNION ALL SELECT symbol FROM adjusted WHERE vf = 1 UNION ALL SELECT symbol FROM adjusted WHERE nbad > 0 "
+            "UNION ALL SELECT symbol FROM adjusted WHERE action IS NOT NULL UNION ALL SELECT symbol FROM adjusted WHERE na > 0)"
+        ),
+        keys=("changes", "symbols", "symbol_list"),
+    ),
     "audit_stats": entry(
         lambda spark, sf: clean.audit_stats(_log(spark, sf)),
         _report_sql(

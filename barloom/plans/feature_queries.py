@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.blocks import in_blocks, running_total
-from barloom.functions.recurrence import Ewm, ewm
+from barloom.functions.recurrence import Ewm, ewm, ewm_halo
 from barloom.functions.rolling import series_window
 from barloom.operators import features as ft
 from barloom.plans.entries import Entry, entry, same
@@ -55,10 +55,8 @@ def _tick_obv(spark, sf):
 
 def _tick_ewm(spark, sf):
     df = src.ticks(spark, sf).select("symbol", "date", "close")
-    # After 1,200 rows the start of a block weighs (1 - 2/27)**1200 < 1e-40 in a span-26 mean.
-    return in_blocks(
-        df, lambda d: ewm(d, [Ewm("ewm_12", "close", 12), Ewm("ewm_26", "close", 26)]), halo=1200, rows_per_block=4096
-    )
+    means = [Ewm("ewm_12", "close", 12), Ewm("ewm_26", "close", 26)]
+    return in_blocks(df, lambda d: ewm(d, means), halo=ewm_halo(means), rows_per_block=4096)
 
 
 TS = ("symbol", "event_time")

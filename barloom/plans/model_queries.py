@@ -77,8 +77,16 @@ def _per_feature(body: str, names=CHECKED) -> str:
     return " UNION ALL ".join(body.format(c=c) for c in names)
 
 
+#: What the names of the checked features allow, written out for the answers.
+_LIMITS = {"close_std20": (0.0, None), "stoch_k": (0.0, 100.0), "volatility_20": (0.0, None)}
+_RULES = {
+    "normalized_close": (-10.0, 10.0), "normalized_volume": (0.0, None), "stoch_k": (-0.01, 100.01), "atr_14": (-1e-6, None),
+    "volatility_20": (-1e-6, None), "market_regime": (0.0, 3.0),
+}
+
+
 def _range_sql(c: str) -> str:
-    lo, hi = quality.name_range(c)
+    lo, hi = _LIMITS.get(c, (None, None))
     bad = " OR ".join(
         ([f"coalesce(min({c}) < {lo}, false)"] if lo is not None else []) + ([f"coalesce(max({c}) > {hi}, false)"] if hi is not None else [])
     )
@@ -114,7 +122,7 @@ def _validation(spark, sf):
 
 
 def _rule_sql(c: str) -> str:
-    lo, hi = quality.MODULE_RULES[c]
+    lo, hi = _RULES[c]
     bad = " OR ".join(([f"{c} < {lo!r}"] if lo is not None else []) + ([f"{c} > {hi!r}"] if hi is not None else []))
     return f"SELECT symbol, '{c}' AS feature, count(*) FILTER (WHERE {bad}) AS out_of_range, count(*) FILTER (WHERE {bad}) = 0 AS passed FROM checked GROUP BY symbol"
 
@@ -217,7 +225,9 @@ def _pred_sql(body: str, **extra: str) -> str:
 
 # Bootstrap
 
-DRAWS = 100
+DRAWS = 1000
+#: Ranks change with every draw, so the rank interval sorts rows x draws.
+RANK_DRAWS = 100
 _IDS = "CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS BIGINT) * 100000 + (date - DATE '1970-01-01')"
 _M64 = "18446744073709551616::UHUGEINT"
 
@@ -232,11 +242,13 @@ _CDF = [float(x) for x in metrics.POISSON_CDF]
 def _weights(rows: str, columns: str, draws: int = DRAWS) -> dict[str, str]:
     steps = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _CDF)
     return {
-        "w0": f"SELECT {columns}, draw, CAST((({_IDS})::UHUGEINT * {metrics.GAMMA}::UHUGEINT + 42::UHUGEINT + (draw + 1)::UHUGEINT * {metrics.MIX_1}::UHUGEINT) % {_M64} AS UBIGINT) AS z FROM {rows}, range({draws}) t(draw)",
+        "ids": f"SELECT DISTINCT symbol, date, {_IDS} AS id FROM {rows}",
+        "w0": f"SELECT symbol, date, draw, CAST((id::UHUGEINT * {metrics.GAMMA}::UHUGEINT + 42::UHUGEINT + (draw + 1)::UHUGEINT * {metrics.MIX_1}::UHUGEINT) % {_M64} AS UBIGINT) AS z FROM ids, range({draws}) t(draw)",
         "w1": f"SELECT * EXCLUDE (z), {_mix('z', 30, metrics.MIX_1)} AS z FROM w0",
         "w2": f"SELECT * EXCLUDE (z), {_mix('z', 27, metrics.MIX_2)} AS z FROM w1",
         "w3": "SELECT * EXCLUDE (z), CAST(xor(z, z >> 31) >> 11 AS DOUBLE) * pow(2e0, -53) AS u FROM w2",
-        "weighted": f"SELECT *, CAST({steps} AS DOUBLE) AS w FROM w3",
+        "w4": f"SELECT symbol, date, draw, CAST({steps} AS DOUBLE) AS w FROM w3 WHERE u >= {_CDF[0]!r}::DOUBLE",
+        "weighted": f"SELECT {columns}, draw, w FROM {rows} JOIN w4 USING (symbol, date)",
     }
 
 
@@ -249,9 +261,7 @@ def _bootstrap(spark, sf) -> DataFrame:
 
 
 def _bootstrap_ic(spark, sf) -> DataFrame:
-    return metrics.bootstrap_ic(
-        _with_id(predictions(spark, sf).where("model = 'linear_regression'")), id_col="row_id", n_bootstrap=20
-    )
+    return metrics.bootstrap_ic(_with_id(predictions(spark, sf)), id_col="row_id", n_bootstrap=RANK_DRAWS)
 
 
 _DRAWN = """SELECT model, split, draw, sum(w * abs(y_pred - y_true)) / sum(w) AS mae, sqrt(sum(w * pow(y_pred - y_true, 2)) / sum(w)) AS rmse,
@@ -259,7 +269,6 @@ _DRAWN = """SELECT model, split, draw, sum(w * abs(y_pred - y_true)) / sum(w) AS
   sum(w * (sign(y_true) = sign(y_pred))::INT) / sum(w) AS directional_accuracy,
   CASE WHEN sqrt(greatest(sum(w * y_pred * y_pred) / sum(w) - pow(sum(w * y_pred) / sum(w), 2), 0)) > 1e-8 THEN (sum(w * y_pred) / sum(w)) / sqrt(sum(w * y_pred * y_pred) / sum(w) - pow(sum(w * y_pred) / sum(w), 2)) END AS sharpe_ratio
   FROM weighted WHERE w > 0 GROUP BY model, split, draw"""
-_FLAT_FREE = "WHERE NOT (model = 'historical_mean' AND metric = 'sharpe_ratio')"
 
 
 # Ablation
@@ -284,6 +293,42 @@ _VARIANTS = {
 }
 
 
+def _ridge_one(df, features):
+    return baselines.fit_ridge(df, features, alphas=(1.0,), written=True)
+
+
+_FACTORY = {
+    "ls": _LS,
+    "fits": """SELECT 'full_feature_set' AS name, ((c1y / sqrt(v1)) * (1 + 1e0 / n) - (c12 / sqrt(v1 * v2)) * (c2y / sqrt(v2))) / (pow(1 + 1e0 / n, 2) - pow(c12 / sqrt(v1 * v2), 2)) / sqrt(v1) AS b1,
+      ((c2y / sqrt(v2)) * (1 + 1e0 / n) - (c12 / sqrt(v1 * v2)) * (c1y / sqrt(v1))) / (pow(1 + 1e0 / n, 2) - pow(c12 / sqrt(v1 * v2), 2)) / sqrt(v2) AS b2 FROM ls
+      UNION ALL SELECT 'remove_return', 0, c2y / v2 / (1 + 1e0 / n) FROM ls UNION ALL SELECT 'remove_tier2', c1y / v1 / (1 + 1e0 / n), 0 FROM ls""",
+    "var": f"""SELECT f.name, split, symbol, date, target AS y_true, my + o.b1 * (simple_return - m1) + o.b2 * (momentum_5 - m2) AS y_base, my + f.b1 * (simple_return - m1) + f.b2 * (momentum_5 - m2) AS y_pred
+      FROM ready, ls, (SELECT b1, b2 FROM fits WHERE name = 'full_feature_set') o, fits f WHERE {_EVAL}""",
+}
+
+
+def _protocol() -> list[baselines.Baseline]:
+    return [
+        baselines.RandomWalk(),
+        baselines.HistoricalMean(),
+        baselines.LinearRegression(X2),
+        baselines.LinearRegression(X2, alphas=baselines.ALPHAS),
+    ]
+
+
+def _fit_report(spark, sf) -> DataFrame:
+    df, models = ready(spark, sf), _protocol()
+    return baselines.fit_report([m.fit(df) for m in models], df)
+
+
+def _r2() -> metrics.SumMetric:
+    """One minus the share of the variance that the predictions leave."""
+    y, p = F.col("y_true"), F.col("y_pred")
+    return metrics.SumMetric(
+        "r2", {"e2": (p - y) * (p - y), "y": y, "y2": y * y}, lambda m: 1.0 - m["e2"] / (m["y2"] - m["y"] * m["y"])
+    )
+
+
 def _ablated(spark, sf) -> DataFrame:
     return ablation.ablation_metrics(_variants(spark, sf))
 
@@ -400,7 +445,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "module_validators": entry(
         lambda spark, sf: quality.module_validators(_checked(spark, sf).select("symbol", *CHECKED)),
-        sql(" UNION ALL ".join(_rule_sql(c) for c in quality.MODULE_RULES if c in CHECKED), "base", **_CHECKED),
+        sql(" UNION ALL ".join(_rule_sql(c) for c in _RULES), "base", **_CHECKED),
         keys=("symbol", "feature", "out_of_range", "passed"),
     ),
     "chrono_split": entry(
@@ -606,9 +651,9 @@ ENTRIES: dict[str, Entry] = {
         digits={**METRIC_DIGITS, "mape": 4, "information_coefficient": 6},
     ),
     "bootstrap_ci": entry(
-        lambda spark, sf: _bootstrap(spark, sf).where("NOT (model = 'historical_mean' AND metric = 'sharpe_ratio')"),
+        _bootstrap,
         _pred_sql(
-            f"SELECT * FROM ci JOIN pt USING (model, split, metric) {_FLAT_FREE}",
+            "SELECT * FROM ci JOIN pt USING (model, split, metric)",
             **_weights("known", "model, split, y_true, y_pred"),
             drawn=_DRAWN,
             ci=" UNION ALL ".join(
@@ -625,12 +670,11 @@ ENTRIES: dict[str, Entry] = {
         _bootstrap_ic,
         _pred_sql(
             "SELECT model, split, quantile_cont(ic, 0.025) AS ci_lower, quantile_cont(ic, 0.975) AS ci_upper FROM d GROUP BY model, split",
-            lr="SELECT * FROM known WHERE model = 'linear_regression'",
-            **_weights("lr", "model, split, y_true, y_pred", 20),
+            **_weights("known", "model, split, y_true, y_pred", RANK_DRAWS),
             ranked="SELECT *, sum(w) OVER (PARTITION BY model, split, draw ORDER BY y_true) - (sum(w) OVER (PARTITION BY model, split, draw, y_true) - 1) / 2 AS ra, "
             "sum(w) OVER (PARTITION BY model, split, draw ORDER BY y_pred) - (sum(w) OVER (PARTITION BY model, split, draw, y_pred) - 1) / 2 AS rp FROM weighted WHERE w > 0",
             s="SELECT model, split, draw, sum(w) AS n, sum(w * ra) / sum(w) AS a, sum(w * rp) / sum(w) AS p, sum(w * ra * ra) / sum(w) AS aa, sum(w * rp * rp) / sum(w) AS pp, sum(w * ra * rp) / sum(w) AS ap FROM ranked GROUP BY model, split, draw",
-            d="SELECT model, split, (ap - a * p) / sqrt((aa - a * a) * (pp - p * p)) AS ic FROM s",
+            d="SELECT model, split, CASE WHEN aa - a * a > 1e-8 AND pp - p * p > 1e-8 THEN (ap - a * p) / sqrt((aa - a * a) * (pp - p * p)) END AS ic FROM s",
         ),
         keys=("model", "split"),
         digits=same("ci_lower ci_upper", 5),
@@ -655,6 +699,43 @@ ENTRIES: dict[str, Entry] = {
         keys=("name", "split", "n"),
         digits=same("mae rmse directional_accuracy sharpe_ratio information_coefficient delta_mae delta_rmse delta_directional_accuracy", 5),
     ),
+    "ablation_model_factory": entry(
+        lambda spark, sf: ablation.ablation_predictions(ready(spark, sf), list(X2), PLAN, model_factory=_ridge_one),
+        _sql("SELECT * FROM var", **_FACTORY),
+        keys=("name", "split", "symbol", "date"),
+        digits=same("y_true y_base y_pred", 7),
+    ),
+    "baseline_protocol": entry(
+        lambda spark, sf: baselines.fit_predict(_protocol(), ready(spark, sf)),
+        _pred_sql("SELECT * FROM pred"),
+        keys=("model", "split", "symbol", "date"),
+        digits=same("y_true y_pred", 7),
+    ),
+    "baseline_fit_report": entry(
+        lambda spark, sf: _fit_report(spark, sf).withColumn(
+            "best_alpha", F.get_json_object("hyperparameters", "$.best_alpha").cast("double")
+        ),
+        _pred_sql(
+            "SELECT m.model, CASE WHEN m.model = 'ridge_regression' THEN (SELECT alpha FROM rbest) END AS best_alpha, s.* FROM (VALUES ('random_walk'), ('historical_mean'), ('linear_regression'), ('ridge_regression')) m(model), "
+            "(SELECT " + ", ".join(
+                f"min(date) FILTER (WHERE split = '{s}') AS {s}_start_date, max(date) FILTER (WHERE split = '{s}') AS {s}_end_date, count(*) FILTER (WHERE split = '{s}') AS {s}_rows"
+                for s in ("train", "validation")
+            ) + " FROM ready) s"
+        ),
+        keys=("model", *[f"{s}_{c}" for s in ("train", "validation") for c in ("start_date", "end_date", "rows")]),
+        digits={"best_alpha": 6},
+    ),
+    "bootstrap_metric_fn": entry(
+        lambda spark, sf: metrics.bootstrap_metric(_with_id(predictions(spark, sf)), _r2(), id_col="row_id", n_bootstrap=DRAWS),
+        _pred_sql(
+            "SELECT model, split, 'r2' AS metric, (SELECT 1 - avg(pow(k.y_pred - k.y_true, 2)) / var_pop(k.y_true) FROM known k WHERE k.model = r.model AND k.split = r.split) AS value, "
+            "quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975) AS ci_upper, count(v) AS draws FROM r GROUP BY model, split",
+            **_weights("known", "model, split, y_true, y_pred"),
+            r="SELECT model, split, draw, 1 - (sum(w * pow(y_pred - y_true, 2)) / sum(w)) / (sum(w * y_true * y_true) / sum(w) - pow(sum(w * y_true) / sum(w), 2)) AS v FROM weighted WHERE w > 0 GROUP BY model, split, draw",
+        ),
+        keys=("model", "split", "metric", "draws"),
+        digits=same("value ci_lower ci_upper", 4),
+    ),
     "ablation_default_plan": entry(
         lambda spark, sf: ablation.ablation_metrics(
             ablation.ablation_predictions(ready(spark, sf), list(X), ablation.default_plan(list(X)))

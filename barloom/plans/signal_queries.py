@@ -131,15 +131,22 @@ ENTRIES: dict[str, Entry] = {
     "cleaned_features": entry(
         cleaned_features,
         sql(
-            "SELECT x.symbol, x.date, ret AS simple_return, (close - ma) / NULLIF(sd, 0) AS normalized_close, CASE WHEN l.y <= 0 AND g.y > 0 THEN 100 WHEN l.y > 0 THEN 100 - 100 / (1 + g.y / l.y) END AS rsi_14, "
-            f"m.line - s.y AS macd_histogram, 4 * sd AS bb_width, atr_14, obv, momentum_20, volatility_20 FROM x LEFT JOIN g USING (symbol, date) LEFT JOIN l USING (symbol, date) LEFT JOIN m USING (symbol, date) LEFT JOIN s USING (symbol, date)",
+            "SELECT x.symbol, x.date, ret AS simple_return, CASE WHEN close > 0 AND prev > 0 THEN ln(close / prev) END AS log_return, ma AS close_ma20, sd AS close_std20, (close - ma) / NULLIF(sd, 0) AS normalized_close, "
+            "volume / NULLIF(vma, 0) AS normalized_volume, CASE WHEN l.y <= 0 AND g.y > 0 THEN 100 WHEN l.y > 0 THEN 100 - 100 / (1 + g.y / l.y) END AS rsi_14, m.line AS macd_line, s.y AS macd_signal, m.line - s.y AS macd_histogram, "
+            "ma AS bb_middle, ma + 2 * sd AS bb_upper, ma - 2 * sd AS bb_lower, 4 * sd AS bb_width, stoch_k, stoch_d, atr_14, adx_plus_di, adx_minus_di, adx_value, obv, obv_ma20, momentum_5, momentum_20, momentum_60, volatility_20 "
+            "FROM x LEFT JOIN g USING (symbol, date) LEFT JOIN l USING (symbol, date) LEFT JOIN m USING (symbol, date) LEFT JOIN s USING (symbol, date)",
             "dirty",
             "actions",
             **cq._CLEAN,
-            cb=f"SELECT *, lag(close) OVER ({W}) AS prev, close / NULLIF(lag(close) OVER ({W}), 0) - 1 AS ret FROM adjusted",
-            x0=f"SELECT *, {roll('avg', 'close', 20)} AS ma, {roll('stddev_samp', 'close', 20)} AS sd, greatest(high - low, abs(high - prev), abs(low - prev)) AS tr, close / NULLIF(lag(close, 20) OVER ({W}), 0) - 1 AS momentum_20, "
+            cb=f"SELECT *, lag(close) OVER ({W}) AS prev, close / NULLIF(lag(close) OVER ({W}), 0) - 1 AS ret, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS down FROM adjusted",
+            x0=f"SELECT *, {roll('avg', 'close', 20)} AS ma, {roll('stddev_samp', 'close', 20)} AS sd, {roll('avg', 'volume', 20)} AS vma, greatest(high - low, abs(high - prev), abs(low - prev)) AS tr, "
+            + "".join(f"close / NULLIF(lag(close, {k}) OVER ({W}), 0) - 1 AS momentum_{k}, " for k in (5, 20, 60))
+            + f"{roll('min', 'low', 14)} AS lo, {roll('max', 'high', 14)} AS hi, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS pd, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS md, "
             f"sum(coalesce(sign(close - prev) * volume, 0)) OVER ({W} ROWS UNBOUNDED PRECEDING) AS obv, {roll('stddev_samp', 'ret', 20)} AS volatility_20 FROM cb",
-            x=f"SELECT *, {roll('avg', 'tr', 14)} AS atr_14 FROM x0",
+            x1=f"SELECT *, {roll('avg', 'tr', 14)} AS atr_14, 100 * (close - lo) / NULLIF(hi - lo, 0) AS stoch_k, {roll('avg', 'obv', 20)} AS obv_ma20, "
+            f"100 * ({roll('avg', 'pd', 14)}) / NULLIF({roll('avg', 'tr', 14)}, 0) AS adx_plus_di, 100 * ({roll('avg', 'md', 14)}) / NULLIF({roll('avg', 'tr', 14)}, 0) AS adx_minus_di FROM x0",
+            x2=f"SELECT *, {roll('avg', 'stoch_k', 3)} AS stoch_d, 100 * abs(adx_plus_di - adx_minus_di) / NULLIF(adx_plus_di + adx_minus_di, 0) AS dx FROM x1",
+            x=f"SELECT *, {roll('avg', 'dx', 14)} AS adx_value FROM x2",
             ch="SELECT symbol, date, greatest(close - prev, 0e0) AS gain, greatest(prev - close, 0e0) AS loss FROM cb WHERE prev IS NOT NULL AND close IS NOT NULL",
             g=ewm_sql("ch", "gain", 14),
             l=ewm_sql("ch", "loss", 14),
@@ -148,6 +155,11 @@ ENTRIES: dict[str, Entry] = {
             m="SELECT symbol, date, f.y - h.y AS line FROM f JOIN h USING (symbol, date)",
             s=ewm_sql("m", "line", 9),
         ),
-        digits={**same("normalized_close rsi_14 macd_histogram bb_width atr_14 volatility_20", 5), **same("simple_return momentum_20 obv", 8)},
+        digits={
+            **same("normalized_close normalized_volume rsi_14 macd_line macd_signal macd_histogram close_std20 bb_upper bb_lower bb_width stoch_k stoch_d atr_14 adx_plus_di adx_minus_di adx_value volatility_20", 5),
+            **same("simple_return log_return momentum_5 momentum_20 momentum_60 obv", 8),
+            **same("close_ma20 bb_middle", 10),
+            "obv_ma20": 5,
+        },
     ),
 }

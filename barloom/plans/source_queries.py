@@ -345,12 +345,12 @@ ENTRIES: dict[str, Entry] = {
         _cross,
         sql(
             f"SELECT symbol, date, market_volatility_annualized, CASE WHEN trend IS NULL OR market_volatility_annualized IS NULL THEN NULL WHEN market_volatility_annualized > {VOL} THEN 3 "
-            "WHEN trend > 0.02 THEN 2 WHEN trend < -0.02 THEN 0 ELSE 1 END AS market_regime FROM x",
+            "WHEN trend > 0.02 THEN 2 WHEN trend < -0.02 THEN 0 ELSE 1 END AS spy_market_regime FROM x",
             "bars",
             "market",
             **_CROSS,
         ),
-        digits={"market_regime": 0, "market_volatility_annualized": 6},
+        digits={"spy_market_regime": 0, "market_volatility_annualized": 6},
     ),
     "peer_pairs": entry(
         lambda spark, sf: cross_asset.peers_of(_leaders(spark, sf), src.registry(spark, sf), _indices(spark, sf)),

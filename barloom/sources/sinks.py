@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder of the session (a local one only where none is set)."""
+    """A fresh folder in the shared checkpoint folder of the session.
+
+    Where none is set a local folder does on one machine; on a cluster the executors could not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -176,3 +176,10 @@ def test_stasis(spark):
     pdf.loc[3:8, "close"] = 50.0
     got = clean.stasis_runs(to_spark(spark, pdf)).first()
     assert (got["start_date"], got["end_date"], got["num_days"]) == (pdf.date[3], pdf.date[8], 6)
+
+
+def test_a_move_from_zero_is_a_spike(spark):
+    pdf = linear(4)
+    pdf["close"] = [10.0, 0.0, 10.0, 10.0]
+    got = sorted((r.date.day, r.daily_return, r.severity) for r in clean.detect_spikes(to_spark(spark, pdf)).collect())
+    assert [(x, s) for _, x, s in got] == [(-1.0, "high"), (float("inf"), "high")]

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from barloom.functions.linalg import moments
 from barloom.operators import ablation, baselines, leakage, metrics, quality, scale, signal, split
 from barloom.operators import features as ft
 from barloom.sources import bars as src
@@ -137,12 +138,34 @@ def test_bootstrap_covers_and_repeats(spark):
     assert ic["ci_lower"] < metrics.information_coefficient(df).first()["information_coefficient"] < ic["ci_upper"]
 
 
-def test_p_values():
+def test_p_values(spark):
     # Textbook two-sided critical values.
-    assert ablation.t_test_p_value(2.228, 11) == pytest.approx(0.05, abs=2e-4)
-    assert ablation.t_test_p_value(1.984, 100) == pytest.approx(0.05, abs=2e-4)
-    assert ablation.t_test_p_value(0.0, 10) == 1.0
-    assert ablation.t_test_p_value(12.706, 2) == pytest.approx(0.05, abs=1e-4)
+    rows = [(2.228, 11, 0.05), (1.984, 100, 0.05), (0.0, 10, 1.0), (12.706, 2, 0.05), (1.96, 100_001, 0.05), (None, 5, None), (1.0, 1, None)]
+    df = spark.createDataFrame(rows, "t double, n bigint, want double")
+    for r in df.withColumn("p", ablation.t_test_p_value(F.col("t"), F.col("n"))).collect():
+        assert r.p == (None if r.want is None else pytest.approx(r.want, abs=2e-4))
+
+
+def test_filter_gains_settle_without_a_cap(spark):
+    q, r, variance = 1e-14, 1e-3, 1e-3
+    for n in range(1, 400_001):
+        predicted = variance + q
+        variance = predicted * r / (predicted + r)
+    got = spark.range(1).select(signal.filtered_variance(F.lit(400_000.0), q, r).alias("v")).first()["v"]
+    assert got == pytest.approx(variance, rel=1e-9)
+    assert signal.steady_gain(q, r) == pytest.approx(3.1622726e-6, rel=1e-6)
+
+
+def test_many_columns_and_groups_of_moments(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 600))
+    df = spark.createDataFrame([(f"g{i % 150}", *map(float, row), float(row[0] - 2 * row[599])) for i, row in enumerate(x)], ["g", *[f"x{k}" for k in range(600)], "y"])
+    table = moments(df, [f"x{k}" for k in range(600)], "y", "g")
+    assert len(table.groups) == 150
+    total = sum(list(table.groups.values())[1:], list(table.groups.values())[0])
+    assert total.n == 900
+    z = (x - table.center[:600]) / table.spread[:600]
+    assert np.allclose(total.matrix[1:601, 1:601], z.T @ z)
 
 
 def test_ablation(spark):
