@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import python_batches, scratch
+from barloom.llm.common import drop_at_exit, python_batches, scratch
 
 BLOCK = 1 << 16
 LEVEL = 3
@@ -352,4 +352,7 @@ def write_and_read(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
       of their texts' hashes. An empty table writes no file and gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    return read(spark, write(docs, scratch(spark, "bit-planes"), tokenizer, id_col=id_col, text_col=text_col), id_col=id_col)
+    path = scratch(spark, "bit-planes")
+    files = write(docs, path, tokenizer, id_col=id_col, text_col=text_col)
+    drop_at_exit(spark, path)
+    return read(spark, files, id_col=id_col)
