@@ -13,11 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.guards import broadcast_if_small
+from barloom.functions.guards import BROADCAST_BYTES, broadcast_if_small
 from barloom.sources.sinks import materialize
 
 SPREAD = 64
-FEW_GROUPS = 1_000
+ROWS_PER_SLOT = 100_000
+LEAST_SLOTS, MOST_SLOTS = 256, 1 << 14
 
 
 def _smaller_cuts(cuts: str, v: Column, slots: int) -> Column:
@@ -34,13 +35,17 @@ def average_ranks(
     *,
     weight: str | None = None,
     resampled_by: Sequence[str] = (),
-    slots: int = 256,
+    slots: int | None = None,
 ) -> DataFrame:
     """Add the average rank of each value column within ``groups`` (``ranks``: column -> new column).
 
     With ``weight`` a row counts that many times. ``resampled_by`` names further group columns
     that repeat the same rows (bootstrap draws): they are ranked apart but share the cuts.
     """
+    if slots is None:
+        # As many as keep a slot at ROWS_PER_SLOT; a count of resampled rows would draw them all.
+        rows = 0 if resampled_by else df.count()
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, -(-rows // ROWS_PER_SLOT)))
     probs = [i / slots for i in range(1, slots)]
     full = [*groups, *resampled_by]
     cuts = df.groupBy(*groups).agg(
@@ -49,7 +54,7 @@ def average_ranks(
     mass = F.lit(1.0) if weight is None else F.col(weight)
     # One row per group with at most ``slots`` cuts a column.
     cuts = materialize(cuts, "rank-cuts")
-    few = cuts.count() <= FEW_GROUPS
+    few = cuts.count() * slots * 80 <= BROADCAST_BYTES  # bytes of the cuts and of the offsets
     df = df.join(F.broadcast(cuts) if few else cuts, list(groups)).withColumn("_m", mass)
     for c, out in ranks.items():
         v = F.col(c)
