@@ -30,6 +30,8 @@ CONTEXTS = 1 << 14
 BLOCK = 1 << 20
 #: Different (language, gram) pairs that a task holds before it sends them on.
 HELD_GRAMS = 1 << 20
+#: Contexts whose code lengths are worked out at once.
+CHUNK = 512
 UNKNOWN = "und"
 
 BLANK = 32
@@ -133,26 +135,25 @@ class Trees:
     def lookup(self) -> tuple[np.ndarray, np.ndarray]:
         """(state of each context of ORDER symbols, bits of (state, symbol) x language)."""
         state = np.zeros(S**ORDER, np.int32)
-        bits = np.full((S, len(self.langs)), np.log2(S))
-        all_bits: list[np.ndarray] = []
-        first, shorter = 0, None
+        bits = np.empty((sum(map(len, self.contexts)), S, len(self.langs)))
+        first = before = 0
         for order, (contexts, counts) in enumerate(zip(self.contexts, self.counts)):
-            total = counts.sum(axis=1)[:, None, :]
-            kinds = (counts > 0).sum(axis=1)[:, None, :]
-            if order:
-                below = np.searchsorted(shorter, contexts % S ** (order - 1))
-                base = all_bits[-1][below]
-            else:
-                base = bits[None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                direct = np.log2(total + kinds) - np.log2(counts)
-                escape = np.log2(total + kinds) - np.log2(kinds)
-            all_bits.append(np.where(total == 0, base, np.where(counts > 0, direct, escape + base)))
-            ending = state.reshape(-1, S**order)
-            ending[:, contexts] = first + np.arange(len(contexts), dtype=np.int32)
-            first += len(contexts)
-            shorter = contexts
-        return state, np.ascontiguousarray(np.concatenate(all_bits).reshape(-1, len(self.langs)))
+            for at in range(0, len(contexts), CHUNK):
+                some, part = contexts[at : at + CHUNK], counts[at : at + CHUNK]
+                total = part.sum(axis=1)[:, None, :]
+                kinds = (part > 0).sum(axis=1)[:, None, :]
+                if order:
+                    base = bits[before + np.searchsorted(self.contexts[order - 1], some % S ** (order - 1))]
+                else:
+                    base = np.full((1, S, len(self.langs)), np.log2(S))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    direct = np.log2(total + kinds) - np.log2(part)
+                    escape = np.log2(total + kinds) - np.log2(kinds)
+                found = np.where(part > 0, direct, escape + base)
+                bits[first + at : first + at + len(some)] = np.where(total == 0, base, found)
+            state.reshape(-1, S**order)[:, contexts] = first + np.arange(len(contexts), dtype=np.int32)
+            before, first = first, first + len(contexts)
+        return state, bits.reshape(-1, len(self.langs))
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Exact bits of the whole text in each language."""
@@ -215,6 +216,8 @@ def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text", keep: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
+        if trees.langs:
+            trees.lookup, trees.counts = trees.lookup, []  # only the table is needed from here on
         for batch in python_batches(batches):
             found = [trees.predict(t) for t in batch.column(len(keep)).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
