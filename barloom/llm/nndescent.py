@@ -17,6 +17,7 @@ drops nothing.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -174,10 +175,11 @@ def first_graph(points: DataFrame, bits: int, neighbours: int) -> DataFrame:
     return _top(edges.groupBy("u", "v").agg(F.max("s").alias("s")), F.lit(neighbours))
 
 
-def refine(points: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
+def refine(points: DataFrame, graph: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
     """One round: neighbours of each point (either way) meet, and keep the better of each other.
 
-    ``sizes`` (u, k) has the list lengths that are not NEIGHBOURS.
+    ``sizes`` (u, k) has the list lengths that are not NEIGHBOURS. A large neighbourhood is cut anew at every point and in
+    every ``turn``, so that points kept apart in one place meet in another.
     """
     both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = both.unionByName(points.select(F.col("row").alias("u"), F.col("row").alias("v")))
@@ -189,7 +191,7 @@ def refine(points: DataFrame, graph: DataFrame, sizes: DataFrame) -> DataFrame:
         F.when(F.col("held") >= F.coalesce("k", F.lit(NEIGHBOURS)), F.col("last")).otherwise(-2.0).alias("last"),
     )
     known = points.select(F.col("row").alias("v"), "vec").join(lists, "v", "left").na.fill({"k": NEIGHBOURS, "last": -2.0})
-    cut = F.pmod(F.xxhash64("v"), F.greatest(F.ceil(F.col("size") / GROUP), F.lit(1)))
+    cut = F.pmod(F.xxhash64("v", "u", F.lit(turn)), F.greatest(F.ceil(F.col("size") / GROUP), F.lit(1)))
     met = both.join(degree, "u").select(F.xxhash64("u", cut).alias("group"), "v").join(known, "v")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
@@ -328,13 +330,23 @@ def near_duplicates(
     sizes, floor = none, math.cos(min(math.pi, 2 * math.acos(threshold)))
     truth = _audit(vectors, threshold) if parts else {}
 
+    turns = itertools.count()
+
     def better(graph: DataFrame) -> DataFrame:
-        after = stored(refine(heads, graph, sizes), "graph")
+        after = stored(refine(heads, graph, sizes, next(turns)), "graph")
         drop_stored(graph)
         return after
 
+    def settled(graph: DataFrame) -> DataFrame:
+        """Refined until a round adds no pair that is near enough to hold links."""
+        held = -1
+        while held < (now := graph.where(F.col("s") >= floor).count()):
+            held, graph = now, better(graph)
+        return graph
+
     for _ in range(ROUNDS):
         graph = better(graph)
+    graph = settled(graph)
     for turn in range(AUDIT_ROUNDS):
         while True:
             full = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("s").alias("last")).where(F.col("last") >= floor)
@@ -344,7 +356,7 @@ def near_duplicates(
             if full.isEmpty():
                 break
             sizes = stored(full.unionByName(sizes.join(full, "u", "left_anti")), "sizes")
-            graph = better(graph)
+            graph = settled(graph)
         n_links, joined = _links(vectors, members, graph, threshold)
         n_links = stored(n_links, "link-counts")
         found = {r["row"]: r["n_links"] for r in n_links.where(F.col("row").isin(list(truth))).collect()} if truth else {}
@@ -353,7 +365,7 @@ def near_duplicates(
             break
         longer = heads.select(F.col("row").alias("u")).join(sizes, "u", "left")
         sizes = stored(longer.select("u", F.greatest(F.lit(NEIGHBOURS << (turn + 1)), "k").alias("k")), "sizes")
-        graph = better(graph)
+        graph = settled(graph)
     groups = components(joined)
     by_group = n_links.join(groups.withColumnRenamed("node", "leader"), "leader", "left").select(
         "row", "n_links", F.coalesce("component", "leader").alias("component")
