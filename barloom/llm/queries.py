@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bitplanes, hmm, html, linedup, mixing, nndescent, ppm, quality, simhash, spm
+from barloom.llm import bitplanes, hmm, html, linedup, mixing, nndescent, packing, ppm, quality, simhash, spm, tries, variants
 from barloom.llm.common import small_batches, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), misspelt=199)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"), family=tries.FAMILY)
+
+
 QUERIES: dict[str, Plan] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -73,6 +87,9 @@ QUERIES: dict[str, Plan] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_hidden_markov_scores": op9_hidden_markov_scores,
     "op10_quality_rules": op10_quality_rules,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 SQL: dict[str, str] = {"op10_quality_rules": quality.sql()}
