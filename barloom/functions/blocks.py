@@ -1,64 +1,66 @@
 """Exact layouts for series too long for one task.
 
-A symbol of an intraday or tick table may hold a third of all rows. Nothing here
-puts a whole symbol into one task: rows are numbered and summed in two levels
-(per time slice, then over the slice totals), and trailing-window operators run
-on fixed-size row blocks that repeat the last ``halo`` rows of the block before.
+A symbol of an intraday or tick table may hold a third of all rows, and an instant may hold very many of them. Nothing
+here puts a whole symbol, or a whole instant, into one task. Rows are sorted over all tasks by range partitions of
+(symbol, time, tie-breaker), and a slice is a fixed number of rows that follow each other in one partition. Running
+values come from a tree: inside a slice, over slices of a group of slices, over groups of groups. Trailing-window
+operators run on fixed-size row blocks that repeat the last ``halo`` rows of the block before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.sinks import materialize
+
 ROWS_PER_BLOCK = 1 << 16
+#: Slice totals in one window, and children of a node of the tree above that.
+TOTALS = 1 << 14
+CHILDREN = 10
 
 
-def _seconds(order_col: str) -> Column:
-    return F.unix_micros(F.col(order_col).cast("timestamp")) / 1e6
+def tie_breaker(df: DataFrame) -> Column:
+    """A hash of the whole row: rows of one instant get one order, the same in every run."""
+    return F.xxhash64(*[f.name for f in df.schema.fields if f.dataType.typeName() != "map"])
 
 
-def slice_seconds(df: DataFrame, *, symbol_col: str, order_col: str, rows_per_slice: int) -> float:
-    """Slice width at which no slice of a symbol holds much more than ``rows_per_slice`` rows.
+def in_slices(
+    df: DataFrame, *, symbol_col: str, order_col: str, first: Sequence[str] = (), rows_per_slice: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """``df`` with ``_at``, which rises with (symbol, time, ``first``, tie-breaker), and ``_slice``, runs of rows along it.
 
-    Starts from a width that suits evenly spread rows and narrows it while a burst overfills a
-    slice. Each check is one aggregation that reads two columns and combines map-side.
+    A slice holds rows of one partition of the order, at most ``rows_per_slice`` of them (rounded down to a power of two),
+    and may hold rows of several symbols. The layout is written once: sampled partition bounds may differ between runs.
     """
-    sec = _seconds(order_col)
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(sec), F.max(sec)).first()
-    if not n or hi == lo:
-        return 1.0
-    width = max((hi - lo) * rows_per_slice / n, 1e-6)
-    while width > 1e-6:
-        fullest = (
-            with_slice(df.select(symbol_col, order_col), order_col=order_col, width=width)
-            .groupBy(symbol_col, "_slice")
-            .count()
-            .agg(F.max("count"))
-            .first()[0]
-        )
-        if fullest <= 4 * rows_per_slice:
-            break
-        width = max(width * rows_per_slice / fullest, 1e-6)
-    return width
-
-
-def with_slice(df: DataFrame, *, order_col: str, width: float) -> DataFrame:
-    return df.withColumn("_slice", F.floor(_seconds(order_col) / F.lit(width)))
-
-
-def prefix_by_slice(df: DataFrame, total: Column, *, out: str, symbol_col: str) -> DataFrame:
-    """(symbol, slice) -> sum of ``total`` over the earlier slices of the symbol.
-
-    Partial aggregation runs before the shuffle; the window sees one row per slice.
+    order = [symbol_col, order_col, *first, "_tie"]
+    laid = df.withColumn("_tie", tie_breaker(df)).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The low 33 bits of this id number the rows of a partition.
+    laid = materialize(laid.withColumn("_at", F.monotonically_increasing_id()).drop("_tie"), "slices")
+    return laid.withColumn("_slice", F.shiftright("_at", min(rows_per_slice.bit_length() - 1, 32)))
+
+
+def carried(totals: DataFrame, value: str, out: str, *, symbol_col: str, last: bool = False, most: int = TOTALS) -> DataFrame:
+    """(symbol, slice, ``out``): the sum of ``value`` over the earlier slices of the symbol, or its last known one.
+
+    ``totals`` has one row per (symbol, slice) and is written. Up to ``most`` rows are one window; more of them are
+    gathered under nodes of 2^CHILDREN slices, whose own totals are carried in the same way.
     """
-    w = Window.partitionBy(symbol_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.groupBy(symbol_col, "_slice")
-        .agg(total.alias("_total"))
-        .select(symbol_col, "_slice", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias(out))
+    combine = F.last(value, True) if last else F.sum(value)
+    either = (lambda near, far: F.coalesce(near, far)) if last else (lambda near, far: F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0)))
+    if totals.count() <= most:
+        before = Window.partitionBy(symbol_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(symbol_col, "_slice", either(combine.over(before), F.lit(None)).alias(out))
+    under = totals.withColumn("_node", F.shiftright("_slice", CHILDREN))
+    before = Window.partitionBy(symbol_col, "_node").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_slice"))) if last else F.sum(value)
+    nodes = under.groupBy(symbol_col, "_node").agg(whole.alias(value)).withColumnRenamed("_node", "_slice")
+    above = carried(materialize(nodes, "slice-nodes"), value, "_far", symbol_col=symbol_col, last=last, most=most)
+    near = under.select(symbol_col, "_slice", "_node", combine.over(before).alias("_near"))
+    return near.join(above.withColumnRenamed("_slice", "_node"), [symbol_col, "_node"]).select(
+        symbol_col, "_slice", either(F.col("_near"), F.col("_far")).alias(out)
     )
 
 
@@ -72,14 +74,14 @@ def running_total(
     rows_per_slice: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Cumulative sum of ``value`` per symbol without a per-symbol task."""
-    width = slice_seconds(df, symbol_col=symbol_col, order_col=order_col, rows_per_slice=rows_per_slice)
-    sliced = with_slice(df.withColumn("_v", value), order_col=order_col, width=width)
-    prior = prefix_by_slice(sliced, F.sum("_v"), out="_prior", symbol_col=symbol_col)
-    w = Window.partitionBy(symbol_col, "_slice").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    sliced = in_slices(df.withColumn("_v", value), symbol_col=symbol_col, order_col=order_col, rows_per_slice=rows_per_slice)
+    totals = materialize(sliced.groupBy(symbol_col, "_slice").agg(F.sum("_v").alias("_total")), "slice-totals")
+    prior = carried(totals, "_total", "_prior", symbol_col=symbol_col)
+    w = Window.partitionBy(symbol_col, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     return (
         sliced.join(prior, [symbol_col, "_slice"])
         .withColumn(out, F.col("_prior") + F.coalesce(F.sum("_v").over(w), F.lit(0)))
-        .drop("_slice", "_prior", "_v")
+        .drop("_at", "_slice", "_prior", "_v")
     )
 
 
@@ -91,15 +93,16 @@ def with_position(
     order_col: str = "date",
     rows_per_slice: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Zero-based row number per symbol, counted per slice and offset by the slices before."""
-    width = slice_seconds(df, symbol_col=symbol_col, order_col=order_col, rows_per_slice=rows_per_slice)
-    sliced = with_slice(df, order_col=order_col, width=width)
-    prior = prefix_by_slice(sliced, F.count(F.lit(1)), out="_prior", symbol_col=symbol_col)
-    w = Window.partitionBy(symbol_col, "_slice").orderBy(order_col)
+    """Zero-based row number per symbol: the number in its slice, after the rows of the slices before."""
+    sliced = in_slices(df, symbol_col=symbol_col, order_col=order_col, rows_per_slice=rows_per_slice)
+    totals = sliced.groupBy(symbol_col, "_slice").agg(F.count(F.lit(1)).alias("_total"), F.min("_at").alias("_first"))
+    prior = carried(materialize(totals.drop("_first"), "slice-totals"), "_total", "_prior", symbol_col=symbol_col)
+    # Rows of a symbol follow each other in a slice, so their numbers need no window.
+    start = totals.select(symbol_col, "_slice", "_first").join(prior, [symbol_col, "_slice"])
     return (
-        sliced.join(prior, [symbol_col, "_slice"])
-        .withColumn(out, F.col("_prior") + F.row_number().over(w) - 1)
-        .drop("_slice", "_prior")
+        sliced.join(start, [symbol_col, "_slice"])
+        .withColumn(out, F.col("_prior") + F.col("_at") - F.col("_first"))
+        .drop("_at", "_slice", "_prior", "_first")
     )
 
 

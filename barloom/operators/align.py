@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.blocks import ROWS_PER_BLOCK, slice_seconds, with_slice
+from barloom.functions.blocks import ROWS_PER_BLOCK, carried, in_slices
 from barloom.functions.guards import broadcast_if_small
 from barloom.functions.rolling import series_window, upto
+from barloom.sources.sinks import materialize
 
 
 def join_features(base: DataFrame, *others: DataFrame, on: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -71,8 +72,9 @@ def asof_join(
 ) -> DataFrame:
     """Backward as-of join for series too long for one task (one key may hold a third of the rows).
 
-    Rows of both sides are cut into time slices per key. The last right row of the slices
-    before comes from a window over one row per slice; inside a slice a local window looks back.
+    Rows of both sides are sorted over all tasks and cut into slices of a fixed number of rows; right rows come before
+    left ones of the same instant, and of right rows of one instant the last by a hash of the row counts. Inside a slice
+    a local window looks back; what earlier slices know last is carried over a tree of slices.
     """
     keep = [c for c in left.columns if c not in (by, order_col)]
     r = right.select(by, order_col, F.struct(*value_cols).alias("_v")).withColumn("_ask", F.lit(False))
@@ -80,17 +82,13 @@ def asof_join(
     both = l.withColumn("_v", F.lit(None).cast(r.schema["_v"].dataType)).unionByName(
         r.withColumn("_row", F.lit(None).cast(l.schema["_row"].dataType))
     )
-    width = slice_seconds(both, symbol_col=by, order_col=order_col, rows_per_slice=rows_per_slice)
-    both = with_slice(both, order_col=order_col, width=width)
-    tail = both.groupBy(by, "_slice").agg(
-        F.max_by("_v", F.when(~F.col("_ask"), F.col(order_col))).alias("_tail")
-    )
-    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tail.select(by, "_slice", F.last("_tail", True).over(earlier).alias("_carry"))
-    local = Window.partitionBy(by, "_slice").orderBy(order_col, "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = in_slices(both, symbol_col=by, order_col=order_col, first=["_ask"], rows_per_slice=rows_per_slice)
+    tail = both.groupBy(by, "_slice").agg(F.max_by("_v", F.when(~F.col("_ask"), F.col("_at"))).alias("_tail"))
+    earlier = carried(materialize(tail, "slice-totals"), "_tail", "_carry", symbol_col=by, last=True)
+    local = Window.partitionBy(by, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     found = F.coalesce(F.last("_v", True).over(local), F.col("_carry"))
     return (
-        both.join(carried, [by, "_slice"])
+        both.join(earlier, [by, "_slice"])
         .withColumn("_found", found)
         .where("_ask")
         .select(by, order_col, "_row.*", *[F.col(f"_found.{c}").alias(c) for c in value_cols])

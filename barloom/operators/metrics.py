@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.blocks import carried, in_slices
 from barloom.functions.ranks import average_ranks
 from barloom.sources.sinks import materialize
 
@@ -263,24 +264,110 @@ def bootstrap_ci(
     return point.select(*by, F.inline(cells)).join(bounds, [*by, "metric"], "left")
 
 
-def weighted_ic(df: DataFrame, *, by: Sequence[str], draw: str = "draw") -> DataFrame:
-    """Spearman coefficient of rows that count ``w`` times, per group and draw."""
-    ranks = average_ranks(df, by, {"y_true": "_ra", "y_pred": "_rp"}, weight="w", resampled_by=[draw])
-    by = [*by, draw]
-    a, p, n = F.col("_ra"), F.col("_rp"), F.sum("w")
-    s = ranks.groupBy(*by).agg(
-        n.alias("n"),
-        F.sum(F.col("w") * a).alias("sa"),
-        F.sum(F.col("w") * p).alias("sp"),
-        F.sum(F.col("w") * a * a).alias("saa"),
-        F.sum(F.col("w") * p * p).alias("spp"),
-        F.sum(F.col("w") * a * p).alias("sap"),
-    )
-    cov = F.col("sap") / F.col("n") - F.col("sa") * F.col("sp") / (F.col("n") * F.col("n"))
-    va = F.col("saa") / F.col("n") - F.col("sa") * F.col("sa") / (F.col("n") * F.col("n"))
-    vp = F.col("spp") / F.col("n") - F.col("sp") * F.col("sp") / (F.col("n") * F.col("n"))
-    ic = F.when((va > TINY) & (vp > TINY), F.try_divide(cov, F.sqrt(va * vp)))
-    return s.select(*by, ic.alias("information_coefficient"))
+#: Rows whose weights for all draws are in memory at a time.
+ROWS_PER_SLICE = 1024
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """The number of its run of equal values for each of sorted values."""
+    return np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])
+
+
+def _slice_vectors(rows: DataFrame, value: str, weigh: Callable[[np.ndarray], np.ndarray], slice_col: str) -> DataFrame:
+    """(_g, slice, before, ties_before, ties): for each slice of rows in the order of ``value`` vectors over the draws.
+
+    ``before`` is the weight of earlier slices; ``ties_before`` and ``ties`` hold, for the first and the last value of the
+    slice, the weight of that value in earlier slices and in all of them. A slice returns its total and those of its two
+    outer runs, one row per draw; all else are sums over slices.
+    """
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(pdf[value].to_numpy(float))
+        pdf = pdf.iloc[np.argsort(pdf[value].to_numpy(float), kind="stable")]
+        w = weigh(pdf["_id"].to_numpy(np.int64))
+        head, tail = w[v == v[0]].sum(axis=0), w[v == v[-1]].sum(axis=0)
+        return pd.DataFrame(
+            {"_g": pdf["_g"].iloc[0], "_slice": pdf[slice_col].iloc[0], "draw": np.arange(w.shape[1]), "total": w.sum(axis=0),
+             "v0": v[0], "w0": head, "v1": v[-1], "w1": tail}
+        )
+
+    schema = "_g STRING, _slice BIGINT, draw INT, total DOUBLE, v0 DOUBLE, w0 DOUBLE, v1 DOUBLE, w1 DOUBLE"
+    sums = rows.select("_g", slice_col, value, "_id").groupBy("_g", slice_col).applyInPandas(summary, schema)
+    sums = materialize(sums.withColumn("_k", F.concat_ws("\u0001", "_g", "draw")), "slice-weights")
+    before = carried(sums.select("_k", "_slice", "total"), "total", "before", symbol_col="_k")
+    outer = F.array_distinct(F.array(F.struct(F.col("v0").alias("v"), F.col("w0").alias("w")), F.struct(F.col("v1").alias("v"), F.col("w1").alias("w"))))
+    runs = sums.select("_k", "_slice", F.inline(outer)).withColumn("_kv", F.concat_ws("\u0001", "_k", F.col("v").cast("string")))
+    runs = materialize(runs, "outer-runs")
+    ahead = carried(runs.select("_kv", "_slice", "w"), "w", "ties_before", symbol_col="_kv")
+    whole = runs.groupBy("_kv").agg(F.sum("w").alias("ties"))
+    runs = runs.join(ahead, ["_kv", "_slice"]).join(whole, "_kv").select("_k", "_slice", "v", "ties_before", "ties")
+    each = sums.select("_g", "draw", "_k", "_slice", "v0", "v1").join(before, ["_k", "_slice"])
+    for k in "01":
+        side = runs.select("_k", "_slice", F.col("v").alias(f"v{k}"), F.col("ties_before").alias(f"b{k}"), F.col("ties").alias(f"t{k}"))
+        each = each.join(side, ["_k", "_slice", f"v{k}"])
+    vectors = F.array_sort(F.collect_list(F.struct("draw", "before", "b0", "t0", "b1", "t1")))
+    packed = each.groupBy("_g", "_slice").agg(vectors.alias("x"))
+    return packed.select("_g", F.col("_slice").alias(slice_col), *[F.col(f"x.{c}").alias(c) for c in ("before", "b0", "t0", "b1", "t1")])
+
+
+def _mid_ranks(values: np.ndarray, w: np.ndarray, vectors: pd.Series) -> np.ndarray:
+    """Weighted mid-ranks (rows x draws) of a slice's sorted values."""
+    run = _runs(values)
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    here = np.add.reduceat(w, first, axis=0)
+    below = np.cumsum(here, axis=0) - here + np.asarray(vectors["before"])
+    ahead, ties = np.zeros_like(here), here.copy()
+    ahead[0], ties[0] = vectors["b0"], vectors["t0"]
+    ahead[-1], ties[-1] = vectors["b1"], vectors["t1"]
+    return (below - ahead + (ties + 1) / 2.0)[run]
+
+
+def _ic_draws(df: DataFrame, *, by: Sequence[str], id_col: str | None, n_bootstrap: int, random_state: int) -> DataFrame:
+    """(group, draw, information_coefficient) of every paired resample.
+
+    Rows lie in slices of their order by prediction and, later, by actual. A slice weighs its rows for all draws and ranks
+    them with the weights of other slices, which are vectors over the draws. A row takes its ranks among the actuals, one
+    vector, to its slice of predictions; slices return sums over their rows.
+    """
+    row_id = F.col(id_col).cast("bigint") if id_col else F.xxhash64("symbol", "date")
+    rows = _known(df).select(F.concat_ws("\u0001", *by).alias("_g"), row_id.alias("_id"), *[(F.col(c).cast("double") + 0.0).alias(c) for c in ("y_true", "y_pred")])
+    draws = np.arange(n_bootstrap)
+
+    def weigh(ids: np.ndarray) -> np.ndarray:
+        return resample_weights(ids, draws, random_state)
+
+    def laid(rows: DataFrame, value: str, slice_col: str) -> DataFrame:
+        return in_slices(rows, symbol_col="_g", order_col=value, rows_per_slice=ROWS_PER_SLICE).withColumnRenamed("_slice", slice_col).drop("_at")
+
+    rows = laid(laid(rows, "y_pred", "_p"), "y_true", "_a")
+    actual = _slice_vectors(rows, "y_true", weigh, "_a")
+    predicted = _slice_vectors(rows, "y_pred", weigh, "_p")
+
+    def rank_actuals(pdf: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y_true")
+        ranks = _mid_ranks(pdf["y_true"].to_numpy(float), weigh(pdf["_id"].to_numpy(np.int64)), vectors.iloc[0])
+        return pdf[["_g", "_p", "_id", "y_pred"]].assign(ranks=[r.tobytes() for r in ranks])
+
+    def sums(pdf: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y_pred")
+        w = weigh(pdf["_id"].to_numpy(np.int64))
+        a = np.stack([np.frombuffer(r) for r in pdf["ranks"]])
+        p = _mid_ranks(pdf["y_pred"].to_numpy(float), w, vectors.iloc[0])
+        cells = {"n": w, "sa": w * a, "sp": w * p, "saa": w * a * a, "spp": w * p * p, "sap": w * a * p}
+        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "draw": draws} | {c: x.sum(axis=0) for c, x in cells.items()})
+
+    met = rows.groupBy("_g", "_a").cogroup(actual.groupBy("_g", "_a")).applyInPandas(rank_actuals, "_g STRING, _p BIGINT, _id BIGINT, y_pred DOUBLE, ranks BINARY")
+    names = ("n", "sa", "sp", "saa", "spp", "sap")
+    parts = met.groupBy("_g", "_p").cogroup(predicted.groupBy("_g", "_p")).applyInPandas(sums, "_g STRING, draw INT, " + ", ".join(f"{c} DOUBLE" for c in names))
+    s = parts.groupBy("_g", "draw").agg(*[F.sum(c).alias(c) for c in names]).where("n > 0")
+
+    def spread(both: str, one: str, other: str) -> Column:
+        return F.col(both) / F.col("n") - F.col(one) * F.col(other) / (F.col("n") * F.col("n"))
+
+    va, vp = spread("saa", "sa", "sa"), spread("spp", "sp", "sp")
+    ic = F.when((va > TINY) & (vp > TINY), F.try_divide(spread("sap", "sa", "sp"), F.sqrt(va * vp)))
+    key = F.split("_g", "\u0001")
+    return s.select(*[key[i].alias(c) for i, c in enumerate(by)], "draw", ic.alias("information_coefficient"))
 
 
 def bootstrap_ic(
@@ -292,19 +379,9 @@ def bootstrap_ic(
     confidence_level: float = 0.95,
     random_state: int = 42,
 ) -> DataFrame:
-    """Interval of the information coefficient: ranks differ per resample, so resamples become rows.
+    """Interval of the information coefficient: every resample has ranks of its own.
 
-    Rows x draws go through the shuffle; every draw is ranked apart, cut into the same slots.
+    A row carries one vector over the draws through one shuffle; it never becomes a row per draw.
     """
-    row_id = F.col(id_col).cast("bigint") if id_col else F.xxhash64("symbol", "date")
-    rows = _known(df).select(*by, row_id.alias("_id"), "y_true", "y_pred")
-    draws = np.arange(n_bootstrap)
-
-    @F.pandas_udf("array<struct<draw:int,w:double>>")
-    def weigh(ids: pd.Series) -> pd.Series:
-        w = resample_weights(ids.to_numpy(np.int64), draws, random_state)
-        return pd.Series([[(int(b), float(x)) for b, x in zip(draws, row) if x > 0] for row in w])
-
-    spread = materialize(rows, "predictions").select(*by, "y_true", "y_pred", F.inline(weigh("_id")))
-    ics = weighted_ic(spread, by=by)
+    ics = _ic_draws(df, by=by, id_col=id_col, n_bootstrap=n_bootstrap, random_state=random_state)
     return interval(ics, ["information_coefficient"], by=by, confidence_level=confidence_level)

@@ -226,8 +226,6 @@ def _pred_sql(body: str, **extra: str) -> str:
 # Bootstrap
 
 DRAWS = 1000
-#: Ranks change with every draw, so the rank interval sorts rows x draws.
-RANK_DRAWS = 100
 _IDS = "CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS BIGINT) * 100000 + (date - DATE '1970-01-01')"
 _M64 = "18446744073709551616::UHUGEINT"
 
@@ -261,7 +259,7 @@ def _bootstrap(spark, sf) -> DataFrame:
 
 
 def _bootstrap_ic(spark, sf) -> DataFrame:
-    return metrics.bootstrap_ic(_with_id(predictions(spark, sf)), id_col="row_id", n_bootstrap=RANK_DRAWS)
+    return metrics.bootstrap_ic(_with_id(predictions(spark, sf)), id_col="row_id", n_bootstrap=DRAWS)
 
 
 _DRAWN = """SELECT model, split, draw, sum(w * abs(y_pred - y_true)) / sum(w) AS mae, sqrt(sum(w * pow(y_pred - y_true, 2)) / sum(w)) AS rmse,
@@ -670,7 +668,7 @@ ENTRIES: dict[str, Entry] = {
         _bootstrap_ic,
         _pred_sql(
             "SELECT model, split, quantile_cont(ic, 0.025) AS ci_lower, quantile_cont(ic, 0.975) AS ci_upper FROM d GROUP BY model, split",
-            **_weights("known", "model, split, y_true, y_pred", RANK_DRAWS),
+            **_weights("known", "model, split, y_true, y_pred", DRAWS),
             ranked="SELECT *, sum(w) OVER (PARTITION BY model, split, draw ORDER BY y_true) - (sum(w) OVER (PARTITION BY model, split, draw, y_true) - 1) / 2 AS ra, "
             "sum(w) OVER (PARTITION BY model, split, draw ORDER BY y_pred) - (sum(w) OVER (PARTITION BY model, split, draw, y_pred) - 1) / 2 AS rp FROM weighted WHERE w > 0",
             s="SELECT model, split, draw, sum(w) AS n, sum(w * ra) / sum(w) AS a, sum(w * rp) / sum(w) AS p, sum(w * ra * ra) / sum(w) AS aa, sum(w * rp * rp) / sum(w) AS pp, sum(w * ra * rp) / sum(w) AS ap FROM ranked GROUP BY model, split, draw",

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.blocks import in_blocks, running_total, slice_seconds, with_position, with_slice
+from barloom.functions.blocks import carried, in_blocks, in_slices, running_total, with_position
 from barloom.functions.guards import broadcast_if_small, collect_bounded
 from barloom.functions.ranks import average_ranks, exact_percentiles
 from barloom.functions.recurrence import Ewm, ewm
@@ -61,14 +61,48 @@ def test_blocks_equal_the_whole_series(spark):
 def test_running_total_and_position(spark):
     burst = [("hot", dt.datetime(2024, 1, 3, 0, 0, i // 50, i % 50 * 1000 + 7), 1.0, 2.0) for i in range(900)]
     df = spark.createDataFrame(ticks() + burst, TICKS)
-    width = slice_seconds(df, symbol_col="symbol", order_col="date", rows_per_slice=50)
-    assert with_slice(df, order_col="date", width=width).groupBy("symbol", "_slice").count().agg(F.max("count")).first()[0] <= 200
+    slices = in_slices(df, symbol_col="symbol", order_col="date", rows_per_slice=50).groupBy("_slice").count()
+    assert slices.agg(F.max("count")).first()[0] <= 50
     got = to_pandas(with_position(running_total(df, F.col("volume"), "total", rows_per_slice=50), rows_per_slice=70))
     want = to_pandas(df)
     np.testing.assert_allclose(got["total"], want.groupby("symbol")["volume"].cumsum())
     assert (got["_pos"] == want.groupby("symbol").cumcount()).all()
 
 
+def test_one_instant_of_many_rows(spark):
+    """1e5 rows at one instant: slices stay short, every row gets one place, and a second run gives the same."""
+    n, at = 100_000, dt.datetime(2024, 1, 3)
+    df = spark.range(n).select(F.lit("hot").alias("symbol"), F.lit(at).alias("date"), "id", (F.col("id") % 7).cast("double").alias("volume"))
+    assert in_slices(df, symbol_col="symbol", order_col="date", rows_per_slice=1024).groupBy("_slice").count().agg(F.max("count")).first()[0] <= 1024
+    once, again = (
+        running_total(with_position(x, rows_per_slice=1024), F.col("volume"), "total", rows_per_slice=1024).toPandas().sort_values("id")
+        for x in (df, df.repartition(13))
+    )
+    assert sorted(once["_pos"]) == list(range(n))
+    assert (once["_pos"].to_numpy() == again["_pos"].to_numpy()).all() and (once["total"].to_numpy() == again["total"].to_numpy()).all()
+    assert once["total"].max() == once["volume"].sum()
+    asked = df.where("id % 3 = 0").select("symbol", "date", "id")
+    known = df.where("id % 3 = 1").select("symbol", "date", F.col("id").alias("v"))
+    found = asof_join(asked, known, by="symbol", value_cols=["v"], rows_per_slice=1024).select("v").distinct().collect()
+    assert len(found) == 1 and found[0].v % 3 == 1
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_totals_over_a_tree(spark, monkeypatch, last):
+    monkeypatch.setattr("barloom.functions.blocks.CHILDREN", 2)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"symbol": rng.choice(["a", "b", "c"], 3000, p=[0.9, 0.05, 0.05]), "_slice": rng.permutation(10**6)[:3000], "v": rng.integers(0, 9, 3000)})
+    known = rng.random(3000) < (0.3 if last else 1)
+    pdf["v"] = pdf["v"].astype(float).where(known)
+    rows = [(s, int(k), float(v) if seen else None) for s, k, v, seen in zip(pdf["symbol"], pdf["_slice"], pdf["v"], known)]
+    totals = spark.createDataFrame(rows, "symbol string, _slice long, v double")
+    got = carried(totals, "v", "out", symbol_col="symbol", last=last, most=20).toPandas().sort_values(["symbol", "_slice"])
+    want = pdf.sort_values(["symbol", "_slice"])
+    by = want.groupby("symbol")["v"]
+    want = by.transform(lambda x: x.ffill().shift()) if last else by.transform(lambda x: x.cumsum().shift(fill_value=0))
+    np.testing.assert_array_equal(got["out"].to_numpy(dtype=float), want.to_numpy())
+
+
 def test_sliced_asof_join(spark):
     rng = np.random.default_rng(0)
     left = pd.DataFrame({"k": rng.choice(["a", "b"], 500, p=[0.9, 0.1]), "date": pd.to_datetime(rng.choice(10_000, 500, replace=False), unit="s"), "id": range(500)})

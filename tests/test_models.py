@@ -138,6 +138,23 @@ def test_bootstrap_covers_and_repeats(spark):
     assert ic["ci_lower"] < metrics.information_coefficient(df).first()["information_coefficient"] < ic["ci_upper"]
 
 
+def test_rank_interval_draws_against_plain_ranks(spark, monkeypatch):
+    """Every draw of the rank coefficient, with ties that reach over several slices, against ranks of repeated rows."""
+    monkeypatch.setattr(metrics, "ROWS_PER_SLICE", 16)
+    rng = np.random.default_rng(4)
+    n, draws = 300, 40
+    pdf = pd.DataFrame({"model": rng.choice(["a", "b"], n, p=[0.8, 0.2]), "split": "test", "id": range(n), "y_true": np.round(rng.normal(size=n), 1)})
+    pdf["y_pred"] = np.where(rng.random(n) < 0.4, 0.0, np.round(0.5 * pdf["y_true"] + rng.normal(size=n), 1))
+    pdf.loc[pdf.model == "b", "y_true"] = pdf.loc[pdf.model == "b", "id"] * 1.0
+    got = metrics._ic_draws(spark.createDataFrame(pdf), by=("model", "split"), id_col="id", n_bootstrap=draws, random_state=42).collect()
+    assert len(got) == 2 * draws
+    w = metrics.resample_weights(np.arange(n), np.arange(draws), 42).astype(int)
+    for r in got:
+        own = pdf[pdf.model == r["model"]]
+        again = own.loc[own.index.repeat(w[own["id"], r["draw"]])]
+        assert r["information_coefficient"] == pytest.approx(again["y_true"].rank().corr(again["y_pred"].rank()), abs=1e-9)
+
+
 def test_p_values(spark):
     # Textbook two-sided critical values.
     rows = [(2.228, 11, 0.05), (1.984, 100, 0.05), (0.0, 10, 1.0), (12.706, 2, 0.05), (1.96, 100_001, 0.05), (None, 5, None), (1.0, 1, None)]
