@@ -3,6 +3,7 @@
 import html as entities
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +60,49 @@ def test_pages(page, text):
     assert html.main_text(page, FLAT) == text
 
 
+WORDS = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("mark", ["article", "main", ""])
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "div class='has-sidebar'", "div class='no-sidebar'", "div class='content-with-nav'", "div class='social-science'",
+        "div class='alert-free form-factor'", "div class='article-body banner-top'", "div id='page-share'", "form action='/x'", "body class='menu'",
+    ],
+)
+def test_wrappers_named_for_the_layout(wrapper, mark):
+    inner = f"<{mark}><p>{WORDS}</p></{mark}>" if mark else f"<p>{WORDS}</p>"
+    assert html.main_text(f"<div class='menu'><a>Home</a></div><{wrapper}>{inner}</{wrapper.split()[0]}>", FLAT) == WORDS
+
+
+def test_names_of_no_content():
+    for name in ("ad", "ad-slot", "cookie-bar", "comment-list", "site-nav", "sidebar", "social-share"):
+        assert html.main_text(f"<article><p>{WORDS}</p><div class='x {name}'>{WORDS} more</div></article>", FLAT) == WORDS
+    teaser = f"<aside><article><p>{WORDS} teaser</p></article></aside>"
+    assert html.main_text(f"{teaser}<article><p>{WORDS}</p>{teaser}</article>", FLAT) == WORDS
+    comment = f"<div class='comments'><article><p>{WORDS} said</p></article></div>"
+    assert html.main_text(f"<article><p>{WORDS}</p></article>{comment}", FLAT) == WORDS
+
+
+def test_scan_cuts_pages_without_a_mark(spark):
+    """Weights are learnt from the labelled pages of the test tables; the pages scanned have no article or main element."""
+    weight = html.weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(12))
+    for before, after in ((f"<ul>{links}</ul>", ""), ("", f"<div><ul>{links}</ul></div>"), (f"<div><ul>{links}</ul></div>", f"<ul>{links}</ul>")):
+        page = f"<html><body>{before}<h1>A title of words</h1><p>{WORDS}</p><p>{PARAGRAPH}</p>{after}</body></html>"
+        assert html.main_text(page, weight) == f"A title of words {WORDS} {PARAGRAPH}"
+    doubtful = f"<div class='page-share'>{links}</div><p>{WORDS}</p>"
+    assert html.main_text(doubtful, weight) == WORDS
+
+
+def test_bad_pages_take_linear_time():
+    page = "<nav>" + "<article>x" * 40_000
+    start = time.perf_counter()
+    html.main_text(page, FLAT)
+    assert time.perf_counter() - start < 5
+
+
 def test_page_table_cases(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>" + "long words " * 100_000 + "</p>", "y"), (2, "v", "<article><p>in it</p></article><ul><li>out</li></ul>", "z")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barloom.llm import mixing, ppm, spm
 from barloom.llm.common import stored
-from tests.llm.test_text_operators import DOCS, odd_documents, plain_fingerprint, plain_line_dedup, union_find
+from tests.llm.test_near_copies import plain_groups
+from tests.llm.test_text_operators import DOCS, odd_documents, plain_line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,11 +55,12 @@ def test_line_stage(steps):
 
 
 def test_near_duplicate_stage(steps):
+    """Against all pairs of documents: five-word shingles, similarity 0.8 or more."""
     before, after = (rows(x) for x in steps[2])
-    before.sort(key=lambda r: r["doc_id"])
-    fps = [plain_fingerprint(r["text"]) for r in before]
-    roots = union_find(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
-    assert sorted(r["doc_id"] for r in after) == [before[i]["doc_id"] for i in range(len(fps)) if roots[i] == i]
+    groups = plain_groups([(r["doc_id"], r["text"]) for r in before])
+    assert sorted(r["doc_id"] for r in after) == sorted({*groups.values()})
+    texts = {r["doc_id"]: r for r in before}
+    assert all(r == texts[r["doc_id"]] for r in after)
 
 
 def test_mixing_stage(spark, steps):
