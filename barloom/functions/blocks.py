@@ -45,12 +45,12 @@ def in_slices(
 def carried(totals: DataFrame, value: str, out: str, *, symbol_col: str, last: bool = False, most: int = TOTALS) -> DataFrame:
     """(symbol, slice, ``out``): the sum of ``value`` over the earlier slices of the symbol, or its last known one.
 
-    ``totals`` has one row per (symbol, slice) and is written. Up to ``most`` rows are one window; more of them are
-    gathered under nodes of 2^CHILDREN slices, whose own totals are carried in the same way.
+    ``totals`` has one row per (symbol, slice) and is written. Up to ``most`` rows of a symbol are one window; where there
+    are more they are gathered under nodes of 2^CHILDREN slices, whose own totals are carried in the same way.
     """
     combine = F.last(value, True) if last else F.sum(value)
     either = (lambda near, far: F.coalesce(near, far)) if last else (lambda near, far: F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0)))
-    if totals.count() <= most:
+    if (totals.groupBy(symbol_col).count().agg(F.max("count")).first()[0] or 0) <= most:
         before = Window.partitionBy(symbol_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         return totals.select(symbol_col, "_slice", either(combine.over(before), F.lit(None)).alias(out))
     under = totals.withColumn("_node", F.shiftright("_slice", CHILDREN))
