@@ -7,7 +7,6 @@ same reason: their rows travel packed per symbol instead of re-shuffling the bar
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,25 +192,30 @@ def fill_runs(df: DataFrame, *, max_consecutive_days: int = 2) -> DataFrame:
     return flagged.select("symbol", F.col("date").alias("start_date"), F.inline(runs))
 
 
-def _fold_medians(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fill one chain of missing volumes in date order; filled values feed the later medians."""
-    pdf = pdf.sort_values("date").reset_index(drop=True)
-    at, values = pdf["_at"].to_numpy(), pdf["volume"].to_numpy(dtype=float).copy()
-    todo = pdf.index[pdf["_todo"]].to_numpy()
-    for i in todo:
-        near = values[(at >= at[i] - 5) & (at <= at[i] + 5)]
-        near = near[near == near]
-        if len(near):
-            values[i] = pd.Series(near).median()
-    return pdf.assign(volume=values).loc[todo, ["symbol", "date", "volume"]]
+def _middle(values: Column) -> Column:
+    """Median of an array; its NULLs do not count."""
+    def of(x: Column) -> Column:
+        return (F.get(x, F.floor((F.size(x) - 1) / 2)) + F.get(x, F.floor(F.size(x) / 2))) / 2.0
+
+    # One element, so that the sorted array is made once.
+    return F.get(F.transform(F.array(F.array_sort(F.array_compact(values))), of), F.lit(0))
+
+
+def _fold_medians(todo: Column) -> Column:
+    """[(at, v)] for missing volumes [(at, near)] in order; a filled value feeds the medians of later rows near it."""
+    def step(done: Column, x: Column) -> Column:
+        fed = F.transform(F.filter(done, lambda d: d["at"] >= x["at"] - 5), lambda d: d["v"])
+        return F.concat(done, F.array(F.struct(x["at"].alias("at"), _middle(F.concat(x["near"], fed)).alias("v"))))
+
+    return F.aggregate(todo, F.lit(None).cast("array<struct<at:int,v:double>>"), lambda done, x: step(F.coalesce(done, F.expr("CAST(array() AS array<struct<at:int,v:double>>)")), x))
 
 
 def fill_volume(df: DataFrame, *, volume_strategy: str = "median", flag: str | None = None) -> DataFrame:
     """Missing volume: median of the known volumes five rows either side, or the last known one.
 
-    A missing volume with another one at most five rows before it depends on that fill.
-    Such chains (rare) are folded in order in pandas, one group per chain, and come back
-    packed per symbol. All others are one window expression.
+    A missing volume with another one at most five rows before it depends on that fill, so the fills of a chain are folded
+    in order: once for each chain, at the last row before the next chain's, in the exchange by symbol that all cleaning
+    shares.
     """
     w = series_window()
     if volume_strategy == "forward_fill":
@@ -222,43 +226,23 @@ def fill_volume(df: DataFrame, *, volume_strategy: str = "median", flag: str | N
     marked = df.withColumns(
         {
             "_at": F.row_number().over(w),
-            "_near": F.count_if(null).over(w.rowsBetween(-5, -1)),
-            "_after": F.count_if(null).over(w.rowsBetween(1, 5)),
-            "_median": F.percentile("volume", 0.5).over(w.rowsBetween(-5, 5)),
+            "_starts": null & (F.count_if(null).over(w.rowsBetween(-5, -1)) == 0),
+            "_near": F.collect_list("volume").over(w.rowsBetween(-5, 5)),
         }
     )
-    chain_start = null & (F.col("_near") == 0)
-    rows = marked.select("symbol", "date", "volume", "_at", "_near", "_after").withColumns(
-        {
-            "_chain": F.count_if(chain_start).over(upto(w)),
-            "_back": F.last(F.when(null, F.col("_at")), True).over(upto(w)),
-            "_coming": F.count_if(chain_start).over(w.rowsBetween(1, 5)),
-        }
-    )
-    # A row within five of a chain is context for it; two chain starts are more than five apart.
-    here = F.when(F.col("_at") - F.col("_back") <= 5, F.col("_chain"))
-    coming = F.when(F.col("_coming") > 0, F.col("_chain") + 1)
-    near = rows.withColumn("_todo", null).withColumn(
-        "_chain", F.explode(F.array_distinct(F.array_compact(F.array(here, coming))))
-    )
-    wc = Window.partitionBy("symbol", "_chain")
-    linked = near.withColumn("_links", F.count_if(F.col("_todo") & (F.col("_near") > 0)).over(wc)).where("_links > 0")
-    folded = linked.groupBy("symbol", "_chain").applyInPandas(
-        lambda pdf: _fold_medians(pdf), "symbol STRING, date DATE, volume DOUBLE"
-    )
-    packed = folded.groupBy("symbol").agg(
-        F.map_from_entries(F.collect_list(F.struct("date", "volume"))).alias("_chained")
+    chains = Window.partitionBy("symbol", "_chain")
+    whole = chains.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    todo = F.collect_list(F.when(null, F.struct(F.col("_at").alias("at"), F.col("_near").alias("near")))).over(whole)
+    chained = marked.withColumn("_chain", F.count_if("_starts").over(upto(w))).withColumns(
+        {"_todo": todo, "_last": F.lead("_at").over(chains.orderBy("_at")).isNull()}
     )
-    joined = marked.join(packed, "symbol", "left")
-    chained = (F.col("_near") > 0) | (F.col("_after") > 0)
-    value = F.when(
-        null & chained & F.col("_chained").isNotNull(),
-        F.coalesce(F.try_element_at("_chained", F.col("date")), F.col("_median")),
-    ).when(null, F.col("_median")).otherwise(F.col("volume"))
-    out = joined.withColumn("_value", value)
+    folded = chained.withColumn("_fold", F.when(F.col("_last") & (F.size("_todo") > 0), _fold_medians(F.col("_todo"))))
+    folded = folded.withColumn("_fold", F.first("_fold", True).over(whole))
+    mine = F.get(F.filter("_fold", lambda d: d["at"] == F.col("_at")), F.lit(0))["v"]
+    out = folded.withColumn("_value", F.when(null, mine).otherwise(F.col("volume")))
     if flag:
         out = out.withColumn(flag, F.when(null & F.col("_value").isNotNull(), 1).otherwise(0))
-    return out.withColumn("volume", F.col("_value")).drop("_value", "_at", "_near", "_after", "_median", "_chained")
+    return out.withColumn("volume", F.col("_value")).drop("_value", "_at", "_near", "_starts", "_chain", "_todo", "_last", "_fold")
 
 
 # Correcting
