@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +110,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Hand memory that earlier tasks of a reused worker have freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def python_batches(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
     """Arrow record batches cut to at most ``rows`` rows."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

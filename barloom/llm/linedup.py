@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-A line found in several documents belongs to the first of them (by id); every later holder is paired with that first
-holder, so pairs grow with the occurrences of shared lines and not with the square of how often one occurs, and no
-frequency is too high to be followed. Lines found once say nothing and are dropped at once: what remains of a document
-is the rare row of its shared lines with their positions. Each pair is aligned by patience diff, and common blocks of
-``MIN_WORDS`` words or more are deleted from the later document. A deleted line lives on in an earlier document: the
-first one that has the block never loses it.
+Lines found in one document only say nothing and are dropped at once: what remains of a document is the rare row of its
+shared lines with their positions. Its shortest runs of ``MIN_WORDS`` words, from every line on and up to every line, are
+hashed, and the document is paired with the first one (by id) that holds each run. Pairs grow with the occurrences of shared
+runs and not with the square of how often one occurs, so no frequency is too high to be followed; and any block that an
+earlier document has is made of such runs. Each pair is aligned by patience diff; where that matches no further (lines
+that recur, blocks in another order) equal runs are matched one by one, so one earlier block covers any number of later
+copies. Common blocks of ``MIN_WORDS`` words or more are deleted from the later document. A deleted line lives on in an
+earlier document: the first one that has the block never loses it.
 """
 
 from __future__ import annotations
@@ -103,8 +105,37 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def shortest_runs(row: list[tuple], min_words: int) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs of lines that follow each other and have ``min_words`` words, from and up to each line.
+
+    ``row`` is a row of (position, hash, words).
+    """
+    found = set()
+    for step in (1, -1):
+        line = row[::step]
+        end, size = 0, 0
+        for start in range(len(line)):
+            while size < min_words and end < len(line) and (end == start or line[end][0] - line[end - 1][0] == step):
+                size += line[end][2]
+                end += 1
+            if size >= min_words:
+                found.add((start, end) if step > 0 else (len(line) - end, len(line) - start))
+            size -= line[start][2]
+    return sorted(found)
+
+
+def run_hash(row: list[tuple], start: int, end: int) -> int:
+    return xxhash.xxh64_intdigest(b"".join(x[1].to_bytes(8, "little", signed=True) for x in row[start:end])) - (1 << 63)
+
+
+def recurring(a: list[tuple], b: list[tuple], min_words: int) -> list[int]:
+    """Positions in ``b`` of runs of ``min_words`` words that ``a`` has anywhere."""
+    known = {run_hash(a, *run) for run in shortest_runs(a, min_words)}
+    return [b[k][0] for start, end in shortest_runs(b, min_words) if run_hash(b, start, end) in known for k in range(start, end)]
+
+
 def common_blocks(a: list[tuple], b: list[tuple], min_words: int) -> list[int]:
-    """Positions in ``b`` of common blocks with ``min_words`` words; a and b are (position, hash, words) rows."""
+    """Positions in ``b`` of blocks of ``min_words`` words that patience diff aligns; a and b are (position, hash, words) rows."""
     out: list[int] = []
     block: list[int] = []
     size, last = 0, None
@@ -125,28 +156,37 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(key, lines): positions (among lines with a word) of the lines to delete, for documents that have any."""
     rows = stored(line_rows(docs, id_col, text_col), "lines")
     each = rows.select("key", F.explode(F.array_distinct("hashes")).alias("h"))
-    first = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    first = stored(first.select("h", "first"), "first-holders")
+    held = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("h")
     spread = rows.select("key", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "x"))
-    shared = spread.select("key", "at", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).join(first, "h")
-    shared = shared.groupBy("key").agg(
-        F.array_sort(F.collect_set(F.struct("at", "h", "w"))).alias("row"), F.collect_set("first").alias("firsts")
-    )
-    shared = stored(shared, "shared-lines")
-    pairs = shared.select("key", "row", F.explode("firsts").alias("first")).where("key <> first")
-    met = pairs.join(shared.select(F.col("key").alias("first"), F.col("row").alias("earlier")), "first").select("key", "row", "earlier")
+    shared = spread.select("key", "at", F.col("x.hashes").alias("h"), F.col("x.words").alias("w")).join(held, "h")
+    shared = stored(shared.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "h", "w"))).alias("row")), "shared-lines")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in python_batches(batches):
+            found = []
+            for row in batch.column(1).to_pylist():
+                row = [(x["at"], x["h"], x["w"]) for x in row]
+                found.append(list({run_hash(row, *run) for run in shortest_runs(row, min_words)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "runs"])
+
+    runs = shared.mapInArrow(cut, "key struct<id: bigint, text: bigint>, runs array<bigint>").select("key", F.explode("runs").alias("run"))
+    runs = stored(runs, "runs")
+    first = runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("run", "first")
+    pairs = runs.join(first, "run").where("key <> first").select("key", "first").distinct()
+    met = pairs.join(shared, "key").join(shared.select(F.col("key").alias("first"), F.col("row").alias("earlier")), "first").select("key", "row", "earlier")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in python_batches(batches):
             found = []
             for later, earlier in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 a, b = ([(x["at"], x["h"], x["w"]) for x in row] for row in (earlier, later))
-                found.append(common_blocks(a, b, min_words))
+                cut = set(common_blocks(a, b, min_words))
+                found.append(sorted(cut.union(recurring(a, b, min_words))))
             some = pa.array([bool(x) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["key", "lines"]).filter(some)
 
-    cut = met.mapInArrow(align, "key struct<id: bigint, text: bigint>, lines array<int>")
-    return cut.select("key", F.explode("lines").alias("at")).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("lines"))
+    deleted = met.mapInArrow(align, "key struct<id: bigint, text: bigint>, lines array<int>")
+    return deleted.select("key", F.explode("lines").alias("at")).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("lines"))
 
 
 def _without(text: Column, cut: Column) -> Column:
@@ -167,18 +207,20 @@ def _without(text: Column, cut: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with shortened texts and a column ``deleted_lines``; rows, order of lines and other columns stay.
+    """``docs`` with shortened texts and a column ``deleted_lines`` (in place of one of that name); lines keep their order.
 
     * Lines compare without white space around them; blank lines are never common and never deleted.
     * Null, empty and blank texts stay as they are. A text that loses all lines becomes empty or blank, not null.
     * Repeated rows (equal id and text) are one document and get equal results. Documents with equal ids are ordered by a
       hash of their texts; a null id is later than all others. An empty table gives no rows.
+    * Texts of any length are read whole: tasks hold the lines of a batch of documents, and the shared lines of a pair.
     """
     cut = repeated_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    marked = docs.withColumn("_key", key(id_col, text_col)).join(cut.select(F.col("key").alias("_key"), F.col("lines").alias("_cut")), "_key", "left")
-    shorter = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("_cut")))
-    return (
-        marked.withColumn(text_col, shorter)
-        .withColumn("deleted_lines", F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint"))
-        .drop("_key", "_cut")
-    )
+    # The row goes along as one column, so that no name can clash.
+    marked = docs.select(F.struct(*docs.columns).alias("row"), key(id_col, text_col).alias("key"))
+    marked = marked.join(cut.select("key", F.col("lines").alias("cut")), "key", "left")
+    text = F.col("row")[text_col]
+    shorter = F.when(F.col("cut").isNull(), text).otherwise(_without(text, F.col("cut")))
+    count = F.coalesce(F.size("cut"), F.lit(0)).cast("bigint")
+    kept = [shorter.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "deleted_lines"]
+    return marked.select(*kept, count.alias("deleted_lines"))

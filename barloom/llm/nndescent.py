@@ -1,25 +1,26 @@
 """Near duplicates among embeddings by NN-descent.
 
 1. Leaders. Vectors within half the linking angle of one leader are linked with each other for certain, so they form a
-   class that the graph sees as one point. Classes are grown in small random groups of neighbouring cells, over several
-   rounds; a group of very many near copies shrinks by the size of a group in each.
-2. Graph. Each leader starts with its nearest ones inside small cells of random planes and refines them by joins with
-   its neighbours' neighbours. A list that is full of leaders near enough to hold links is saturated: it is doubled and
-   refined again until none is.
+   class that the graph sees as one point. Classes are grown over several rounds in small groups of neighbouring vectors;
+   a group of very many near copies shrinks by the size of a group in each.
+2. Graph. Each leader starts with its nearest ones among its neighbours along several orders by random planes, and refines
+   them by joins with its neighbours' neighbours. A neighbour counts if the two classes are near enough to hold links. A
+   list in which all count is saturated: it is doubled and refined again until none is.
 3. Links. Class pairs that are near enough link as a whole, or not at all; those between are compared member by member
    in blocks. Counts, not pairs, leave the tasks.
-4. Audit. A fixed number of vectors is compared with all rows; while the graph finds too few of their links, lists are
-   doubled and refined further.
+4. Audit. A fixed number of vectors is compared with all rows, and recall is taken vector by vector, those with few and
+   with many links apart. Where it falls short lists are doubled; labels that still fall short are compared exactly, in
+   blocks of leaders.
 
-Every group that a task sees is cut to a bounded size by hashing; cutting moves work to other groups and rounds and
-drops nothing.
+Groups are cut from a sorted order: rows are range-partitioned by what brings them together and then by a hash, and tasks
+take them in runs of bounded size. What is cut apart in one round meets in another.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,19 +33,22 @@ from barloom.llm.common import components, drop_stored, stored
 THRESHOLD = 0.93
 NEIGHBOURS = 8
 ROUNDS = 2
-TREES = 3
-#: Vectors that a cell holds on average, and at most about twice.
+ORDERS = 3
+#: Vectors that meet in a group.
 GROUP = 192
-LEADER_ROUNDS = 4
+PLANES = 24
+LEADER_ROUNDS = 6
 MEMBERS = 1024
-AUDIT_VECTORS = 128
+AUDIT_VECTORS = 512
 AUDIT_RECALL = 0.98
-AUDIT_ROUNDS = 4
+AUDIT_ROUNDS = 3
+#: Vectors with more links are audited apart.
+MANY_LINKS = 32
 EDGE = 1e-9
 
 
 def _matrix(vecs: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.float64) for v in vecs])
+    return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -71,149 +75,183 @@ def unit_vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) ->
     return picked.mapInArrow(run, "id bigint, part string, vec binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def cells(points: DataFrame, bits: int, seed: int) -> DataFrame:
-    """``points`` with ``group``: cells of equal signs on random planes, large ones cut by hash to about GROUP points."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(frames: Iterator[pd.DataFrame], key: str, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``fn`` of runs of rows that follow each other and have equal ``key``, of at most GROUP rows."""
+    held = None
+    for frame in itertools.chain(frames, [None]):
+        if frame is not None and not len(frame):
+            continue
+        both = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if both is None:
+            return
+        keys = both[key].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        cuts = [at for a, b in zip(starts, [*starts[1:], len(both)]) for at in range(a, b, GROUP)]
+        ends = [*cuts[1:], len(both)]
+        if frame is not None:  # the last run may go on
+            held = both.iloc[cuts[-1] :]
+            cuts, ends = cuts[:-1], ends[:-1]
+        out = [fn(both.iloc[a:b]) for a, b in zip(cuts, ends)]
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def in_orders(points: DataFrame, seeds: list[int], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` of groups of ``points`` (row, part, vec, ...): runs of a part in an order by the signs on random planes, one for each seed."""
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         for frame in frames:
-            codes = np.zeros(len(frame), np.int64)
             lengths = frame["vec"].map(len).to_numpy() // 8
+            codes = np.zeros((len(seeds), len(frame)), np.int64)
             for n in np.unique(lengths):
-                own = lengths == n
                 if n not in planes:
-                    planes[n] = np.random.default_rng([seed, n]).normal(size=(n, max(bits, 1)))
+                    planes[n] = np.stack([np.random.default_rng([seed, n]).normal(size=(n, PLANES)) for seed in seeds])
+                own = lengths == n
                 signs = _matrix(frame["vec"][own]) @ planes[n] > 0
-                codes[own] = signs[:, :bits] @ (1 << np.arange(bits)) if bits else 0
-            yield frame.assign(cell=codes)
+                codes[:, own] = signs @ (1 << np.arange(PLANES)[::-1])
+            for seed, row in zip(seeds, codes):
+                yield frame.assign(lane=f"{seed}/" + frame["part"], code=row)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    coded = points.mapInPandas(run, f"{fields}, cell bigint")
-    sizes = coded.groupBy("part", "cell").agg(F.count("*").alias("size"))
-    cut = F.pmod(F.xxhash64("row", F.lit(seed)), F.greatest(F.ceil(F.col("size") / GROUP), F.lit(1)))
-    # A hash of its own spreads the groups of a large cell over tasks; by (part, cell) they would stay in one.
-    return coded.join(sizes, ["part", "cell"]).withColumn("group", F.xxhash64("part", "cell", cut)).drop("size", "cell")
+    coded = points.mapInPandas(code, f"{fields}, lane string, code bigint").withColumn("mix", F.xxhash64("row", "lane"))
+    order = ["lane", "code", "mix"]
+    return coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(lambda frames: _cut(frames, "lane", fn), schema)
 
 
-def _bits(count: int, parts: int) -> int:
-    return max(0, math.ceil(math.log2(max(count, 1) / (max(parts, 1) * GROUP / 2)))) if count > GROUP else 0
-
-
-def leaders(points: DataFrame, parts: int, cosine: float) -> DataFrame:
-    """(row, leader) for every point: leaders lead themselves, all others are within ``cosine`` of their leader."""
+def leaders(points: DataFrame, cosine: float) -> DataFrame:
+    """(row, part, vec, leader, cos) for every point: leaders lead themselves, others are within ``cosine`` of their leader."""
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row")
         near = _matrix(frame["vec"])
         near = near @ near.T >= cosine
-        rows, head = frame["row"].to_numpy(), np.full(len(frame), -1)
+        rows, vecs, head = frame["row"].to_numpy(), frame["vec"].to_numpy(), np.full(len(frame), -1)
         for i in range(len(rows)):
             if head[i] < 0:
                 head[near[i] & (head < 0)] = i
                 head[i] = i
-        return pd.DataFrame({"row": rows, "to": rows[head]})
+        moved = np.flatnonzero(head != np.arange(len(rows)))
+        return pd.DataFrame({"leader": rows[moved], "to": rows[head[moved]], "lead": vecs[head[moved]]})
 
-    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                cos = np.array([np.frombuffer(a, np.float64) @ np.frombuffer(b, np.float64) for a, b in zip(frame["vec"], frame["lead"])])
-                yield frame.loc[cos >= cosine, ["row", "to"]]
-
-    members = points.select("row", F.col("row").alias("leader"))
-    count = points.count()
+            asked = frame["lead"].notna().to_numpy()
+            cos = np.full(len(frame), np.nan)
+            for at in np.flatnonzero(asked):
+                cos[at] = np.frombuffer(frame["vec"].iat[at]) @ np.frombuffer(frame["lead"].iat[at])
+            yield frame.drop(columns="lead").assign(near=np.where(asked, cos, -2.0))
+
+    members = points.select("row", "part", "vec", F.col("row").alias("leader"), F.lit(1.0).alias("cos"))
+    count, written = points.count(), None
     for turn in range(LEADER_ROUNDS):
-        heads = points.join(members.where("row = leader").select("row"), "row")
-        groups = cells(heads, _bits(count, parts), 100 + turn).groupBy("part", "group")
-        moved = stored(groups.applyInPandas(choose, "row bigint, to bigint").where("row <> to"), "moved")
-        to_vec = points.select(F.col("row").alias("to"), F.col("vec").alias("lead"))
-        moving = members.join(moved.withColumnRenamed("row", "leader"), "leader").select("row", "to")
-        fits = moving.join(points.select("row", "vec"), "row").join(to_vec, "to").mapInPandas(close, "row bigint, to bigint")
-        fits = stored(fits, "fits")
-        # A head that moves leaves those of its members that don't fit the new leader; they stay with it, so it stays.
-        left = moving.join(fits.select("row"), "row", "left_anti").join(members, "row").select(F.col("leader").alias("row")).distinct()
-        fits = fits.join(left, "row", "left_anti")
-        before = members
+        heads = members.where("row = leader").select("row", "part", "vec")
+        moved = stored(in_orders(heads, [100 + turn], choose, "leader bigint, to bigint, lead binary"), "moved")
+        fewer = moved.count()
+        if not fewer:
+            break
+        schema = "row bigint, part string, vec binary, leader bigint, cos double, to bigint, near double"
+        placed = stored(members.join(moved, "leader", "left").select("row", "part", "vec", "leader", "cos", "to", "lead").mapInPandas(measure, schema), "placed")
+        # A head stays with those of its members that don't fit the new leader.
+        stays = placed.where(F.col("to").isNotNull() & (F.col("near") < cosine)).select("leader", F.lit(True).alias("stays")).distinct()
+        moves = F.col("to").isNotNull() & (F.col("near") >= cosine) & ((F.col("row") != F.col("leader")) | F.col("stays").isNull())
         members = stored(
-            members.join(fits, "row", "left").select("row", F.coalesce("to", "leader").alias("leader")), "members"
+            placed.join(stays, "leader", "left").select(
+                "row", "part", "vec", F.when(moves, F.col("to")).otherwise(F.col("leader")).alias("leader"), F.when(moves, F.col("near")).otherwise(F.col("cos")).alias("cos")
+            ),
+            "members",
         )
-        drop_stored(moved)
-        if turn:
-            drop_stored(before)
-        now = members.where("row = leader").count()
-        if now > 0.95 * count:
+        drop_stored(moved, placed, *[written] if written is not None else [])
+        written = members
+        if fewer < 0.02 * count:
             break
-        count = now
+        count -= fewer
     return members
 
 
-def _top(edges: DataFrame, size: Column) -> DataFrame:
-    """The best ``size`` edges (u, v, s) of each u."""
+def _counts(s: np.ndarray, wide: np.ndarray, reach: float) -> np.ndarray:
+    """Which pairs of leaders with cosines ``s`` are near enough that their classes may hold links."""
+    return np.arccos(np.clip(s, -1, 1)) <= reach + wide[:, None] + wide[None, :]
+
+
+def _pairs(rows: np.ndarray, s: np.ndarray, counts: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+    """(u, v, s, counts): the best ``k`` of each row; below -1 there is none."""
+    order = np.argsort(-s, axis=1, kind="stable")
+    keep = (np.arange(len(rows))[None, :] < k[:, None]) & (np.take_along_axis(s, order, 1) >= -1.5)
+    a, at = np.nonzero(keep)
+    b = order[a, at]
+    return pd.DataFrame({"u": rows[a], "v": rows[b], "s": s[a, b], "counts": counts[a, b]})
+
+
+EDGES = "u bigint, v bigint, s double, counts boolean"
+
+
+def _best(edges: DataFrame, size: Column) -> DataFrame:
+    """The best ``size`` edges (u, v, s, counts) of each u, each v once."""
+    once = edges.groupBy("u", "v", *[c for c in edges.columns if c == "k"]).agg(F.max("s").alias("s"), F.max("counts").alias("counts"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return edges.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
+    return once.withColumn("rank", rank).where(F.col("rank") <= size).select("u", "v", "s", "counts")
 
 
-def first_graph(points: DataFrame, bits: int, neighbours: int) -> DataFrame:
-    """(u, v, s): the nearest points of each u in its cells over TREES sets of planes."""
+def first_graph(heads: DataFrame, reach: float) -> DataFrame:
+    """(u, v, s, counts): the nearest leaders of each u in its groups of ORDERS orders."""
 
     def nearest(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, cos = frame["row"].to_numpy(), _matrix(frame["vec"])
+        cos = _matrix(frame["vec"])
         cos = cos @ cos.T
         np.fill_diagonal(cos, -2)
-        k = min(neighbours, len(rows) - 1)
-        best = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(rows), 0), int)
-        return pd.DataFrame(
-            {"u": np.repeat(rows, k), "v": rows[best].ravel(), "s": np.take_along_axis(cos, best, 1).ravel()}
-        )
+        return _pairs(frame["row"].to_numpy(), cos, _counts(cos, frame["wide"].to_numpy(), reach), np.full(len(frame), NEIGHBOURS))
 
-    found = [
-        cells(points, bits, seed).groupBy("part", "group").applyInPandas(nearest, "u bigint, v bigint, s double")
-        for seed in range(TREES)
-    ]
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return _top(edges.groupBy("u", "v").agg(F.max("s").alias("s")), F.lit(neighbours))
+    return _best(in_orders(heads, list(range(ORDERS)), nearest, EDGES), F.lit(NEIGHBOURS))
 
 
-def refine(points: DataFrame, graph: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
-    """One round: neighbours of each point (either way) meet, and keep the better of each other.
+def refine(heads: DataFrame, graph: DataFrame, sizes: DataFrame, turn: int, reach: float) -> DataFrame:
+    """One round: neighbours of each leader (either way) meet, and keep the better of each other.
 
-    ``sizes`` (u, k) has the list lengths that are not NEIGHBOURS. A large neighbourhood is cut anew at every point and in
-    every ``turn``, so that points kept apart in one place meet in another.
+    ``sizes`` (u, k) has the list lengths that are not NEIGHBOURS. A large neighbourhood is cut anew at every leader and in
+    every ``turn``.
     """
-    both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = both.unionByName(points.select(F.col("row").alias("u"), F.col("row").alias("v")))
-    degree = both.groupBy("u").agg(F.count("*").alias("size"))
-    lists = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("s").alias("last")).join(sizes, "u", "left")
-    lists = lists.select(
-        F.col("u").alias("v"),
-        F.coalesce("k", F.lit(NEIGHBOURS)).alias("k"),
-        F.when(F.col("held") >= F.coalesce("k", F.lit(NEIGHBOURS)), F.col("last")).otherwise(-2.0).alias("last"),
-    )
-    known = points.select(F.col("row").alias("v"), "vec").join(lists, "v", "left").na.fill({"k": NEIGHBOURS, "last": -2.0})
-    cut = F.pmod(F.xxhash64("v", "u", F.lit(turn)), F.greatest(F.ceil(F.col("size") / GROUP), F.lit(1)))
-    met = both.join(degree, "u").select(F.xxhash64("u", cut).alias("group"), "v").join(known, "v")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, cos = frame["v"].to_numpy(), _matrix(frame["vec"])
+        frame = frame.drop_duplicates("row")
+        cos = _matrix(frame["vec"])
         cos = cos @ cos.T
-        np.fill_diagonal(cos, -3)
-        cos[cos <= frame["last"].to_numpy()[:, None]] = -3
-        k = frame["k"].to_numpy()
-        order = np.argsort(-cos, axis=1)
-        place = np.arange(len(rows))[None, :] < k[:, None]
-        keep = place & (np.take_along_axis(cos, order, 1) > -3)
-        a, b = np.nonzero(keep)
-        b = order[a, b]
-        return pd.DataFrame({"u": rows[a], "v": rows[b], "s": cos[a, b]})
+        np.fill_diagonal(cos, -2)
+        counts = _counts(cos, frame["wide"].to_numpy(), reach)
+        cos[cos <= frame["last"].to_numpy()[:, None]] = -2
+        return _pairs(frame["row"].to_numpy(), cos, counts, frame["k"].to_numpy())
+
+    lists = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("s").alias("least")).join(sizes, "u", "left")
+    size = F.coalesce("k", F.lit(NEIGHBOURS))
+    lists = lists.select(F.col("u").alias("row"), size.alias("k"), F.when(F.col("held") >= size, F.col("least")).otherwise(-2.0).alias("last"))
+    known = heads.select("row", "vec", "wide").join(lists, "row", "left").na.fill({"k": NEIGHBOURS, "last": -2.0})
+    ends = graph.select(F.col("u").alias("at"), F.col("v").alias("row")).unionByName(graph.select(F.col("v").alias("at"), F.col("u").alias("row")))
+    ends = ends.unionByName(heads.select(F.col("row").alias("at"), "row"))
+    met = ends.join(known, "row").withColumn("mix", F.xxhash64("row", "at", F.lit(turn)))
+    met = met.repartitionByRange("at", "mix").sortWithinPartitions("at", "mix").mapInPandas(lambda frames: _cut(frames, "at", meet), EDGES)
+    return _best(graph.unionByName(met).join(sizes, "u", "left"), size)
+
+
+def all_edges(heads: DataFrame, reach: float) -> DataFrame:
+    """(u, v, s, counts) of all pairs of ``heads`` of one part that count, by comparing blocks of leaders with each other."""
+    blocks = heads.drop("size").join(heads.groupBy("part").agg(F.count("*").alias("size")), "part")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / MEMBERS)))
+    blocks = blocks.groupBy("part", "block").agg(F.collect_list(F.struct("row", "vec", "wide")).alias("x"))
+    blocks = stored(blocks.select("part", "block", F.col("x.row").alias("rows"), F.col("x.vec").alias("vecs"), F.col("x.wide").alias("wides")), "blocks")
+    other = blocks.select("part", F.col("block").alias("to"), F.col("rows").alias("b_rows"), F.col("vecs").alias("b_vecs"), F.col("wides").alias("b_wides"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x in frame.itertuples():
+                cos = _matrix(x.vecs) @ _matrix(x.b_vecs).T
+                near = np.arccos(np.clip(cos, -1, 1)) <= reach + np.asarray(x.wides)[:, None] + np.asarray(x.b_wides)[None, :]
+                a, b = np.nonzero(near & (np.asarray(x.rows)[:, None] != np.asarray(x.b_rows)[None, :]))
+                yield pd.DataFrame({"u": np.asarray(x.rows)[a], "v": np.asarray(x.b_rows)[b], "s": cos[a, b], "counts": np.ones(len(a), bool)})
 
-    new = met.groupBy("group").applyInPandas(meet, "u bigint, v bigint, s double")
-    edges = graph.unionByName(new).groupBy("u", "v").agg(F.max("s").alias("s"))
-    return _top(edges.join(sizes, "u", "left"), F.coalesce("k", F.lit(NEIGHBOURS))).select("u", "v", "s")
+    return blocks.join(other, "part").where("block <= to").drop("part", "block", "to").mapInPandas(run, EDGES)
 
 
 def _pair_counts(pairs: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
-    """(row, n, touched): links of each member with the members of the other class, for class pairs (a, b)."""
+    """(row, n, a, b): links of each member with the members of the other class, for class pairs (a, b)."""
     left = chunks.select(F.col("leader").alias("a"), F.col("rows").alias("ar"), F.col("vecs").alias("av"))
     right = chunks.select(F.col("leader").alias("b"), F.col("rows").alias("br"), F.col("vecs").alias("bv"))
 
@@ -233,57 +271,38 @@ def _pair_counts(pairs: DataFrame, chunks: DataFrame, threshold: float) -> DataF
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "row bigint, n bigint, a bigint, b bigint")
 
 
-def _links(points: DataFrame, members: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((row, n_links), (a, b) links between leaders), from the graph of leaders."""
+def _links(members: DataFrame, heads: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((row, leader, n_links), (a, b) links between leaders), from the graph of leaders."""
     angle = math.acos(threshold)
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                cos = np.array([np.frombuffer(a, np.float64) @ np.frombuffer(b, np.float64) for a, b in zip(frame["vec"], frame["lead"])])
-                yield pd.DataFrame({"leader": frame["leader"], "angle": np.arccos(np.clip(cos, -1, 1))})
-
-    lead = points.select(F.col("row").alias("leader"), F.col("vec").alias("lead"))
-    others = members.where("row <> leader").join(points.select("row", "vec"), "row").join(lead, "leader")
-    wide = others.mapInPandas(spread, "leader bigint, angle double").groupBy("leader").agg(F.max("angle").alias("wide"))
-    classes = stored(members.groupBy("leader").agg(F.count("*").alias("size")).join(wide, "leader", "left").na.fill(0.0), "classes")
-    pairs = graph.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.acos(F.least("s", F.lit(1.0))).alias("angle"), "s").dropDuplicates(["a", "b"])
-    pairs = pairs.where(F.col("angle") <= 2 * angle + EDGE)
+    pairs = graph.where("counts").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("s").alias("s"))
     for side in "ab":
-        pairs = pairs.join(classes.select(F.col("leader").alias(side), F.col("size").alias(f"{side}n"), F.col("wide").alias(f"{side}w")), side)
-    around = F.col("aw") + F.col("bw")
+        pairs = pairs.join(heads.select(F.col("row").alias(side), F.col("size").alias(f"{side}n"), F.col("wide").alias(f"{side}w")), side)
+    apart, around = F.acos(F.least("s", F.lit(1.0))), F.col("aw") + F.col("bw")
     single = (F.col("an") == 1) & (F.col("bn") == 1)
-    pairs = stored(
-        pairs.withColumn(
-            "how",
-            F.when(single, F.when(F.col("s") >= threshold, 1).otherwise(0))
-            .when(F.col("angle") + around <= angle - EDGE, 1)
-            .when(F.col("angle") - around > angle + EDGE, 0)
-            .otherwise(2),
-        ).where("how > 0"),
-        "pairs",
-    )
+    how = F.when(single, (F.col("s") >= threshold).cast("int")).when(apart + around <= angle - EDGE, 1).otherwise(2)
+    pairs = stored(pairs.withColumn("how", how).where("how > 0"), "pairs")
     sure, open_ = pairs.where("how = 1"), pairs.where("how = 2")
     whole = sure.select(F.col("a").alias("leader"), F.col("bn").alias("n")).unionByName(sure.select(F.col("b").alias("leader"), F.col("an").alias("n")))
     whole = whole.groupBy("leader").agg(F.sum("n").alias("whole"))
+    sized = members.join(heads.select(F.col("row").alias("leader"), "size"), "leader")
     asked = open_.select(F.col("a").alias("leader")).unionByName(open_.select(F.col("b").alias("leader"))).distinct()
     chunk = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / MEMBERS))
     chunks = (
-        members.join(asked, "leader").join(classes.select("leader", "size"), "leader").join(points.select("row", "vec"), "row")
-        .groupBy("leader", chunk.alias("chunk")).agg(F.collect_list(F.struct("row", "vec")).alias("x"))
+        sized.join(asked, "leader").groupBy("leader", chunk.alias("chunk")).agg(F.collect_list(F.struct("row", "vec")).alias("x"))
         .select("leader", F.col("x.row").alias("rows"), F.col("x.vec").alias("vecs"))
     )
-    single_counts = stored(_pair_counts(open_, chunks, threshold), "pair-counts")
-    by_row = single_counts.groupBy("row").agg(F.sum("n").alias("single"))
-    n_links = (
-        members.join(classes.select("leader", "size"), "leader").join(whole, "leader", "left").join(by_row, "row", "left")
-        .select("row", "leader", (F.col("size") - 1 + F.coalesce("whole", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("n_links"))
-    )
-    return n_links, sure.select("a", "b").unionByName(single_counts.select("a", "b")).distinct()
-
-
-def _audit(vectors: DataFrame, threshold: float) -> dict[int, int]:
-    """Links of AUDIT_VECTORS vectors (the lowest hashes) by comparison with all rows, a batch at a time."""
+    counted = stored(_pair_counts(open_, chunks, threshold), "pair-counts")
+    by_row = counted.groupBy("row").agg(F.sum("n").alias("single"))
+    total = F.col("size") - 1 + F.coalesce("whole", F.lit(0)) + F.coalesce("single", F.lit(0))
+    n_links = sized.select("row", "leader", "size").join(whole, "leader", "left").join(by_row, "row", "left").select("row", "leader", total.alias("n_links"))
+    joined = stored(sure.select("a", "b").unionByName(counted.select("a", "b")).distinct(), "class-links")
+    n_links = stored(n_links, "link-counts")
+    drop_stored(pairs, counted)
+    return n_links, joined
+
+
+def _audit(vectors: DataFrame, threshold: float) -> dict[int, tuple[str, int]]:
+    """{row: (part, links)} of AUDIT_VECTORS vectors (the lowest hashes) by comparison with all rows, a batch at a time."""
     asked = vectors.orderBy(F.xxhash64("row"), "row").limit(AUDIT_VECTORS).select("row", "part", "vec").collect()
     by_part: dict[str, list] = {}
     for r in asked:
@@ -302,7 +321,18 @@ def _audit(vectors: DataFrame, threshold: float) -> dict[int, int]:
             yield pd.DataFrame({"row": rows, "n": n}, dtype="int64")
 
     sums = vectors.select("part", "vec").mapInPandas(run, "row bigint, n bigint").groupBy("row").agg(F.sum("n").alias("n"))
-    return {r["row"]: r["n"] - 1 for r in sums.collect()}
+    parts = {r["row"]: r["part"] for r in asked}
+    return {r["row"]: (parts[r["row"]], r["n"] - 1) for r in sums.collect()}
+
+
+def _short(truth: dict[int, tuple[str, int]], found: dict[int, int]) -> set[str]:
+    """The parts with audited vectors whose links are not all found, if vectors with few, or with many, find too few of them on average."""
+    low: set[str] = set()
+    for many in (False, True):
+        shares = {r: min(found[r], n) / n for r, (_, n) in truth.items() if n and (n > MANY_LINKS) == many}
+        if shares and sum(shares.values()) < AUDIT_RECALL * len(shares):
+            low |= {truth[r][0] for r, x in shares.items() if x < 1}
+    return low
 
 
 def near_duplicates(
@@ -315,57 +345,63 @@ def near_duplicates(
     * Null labels, null, empty and zero vectors, and null or non-finite components: no links, a component of its own.
     * Repeated rows are vectors of their own that link with each other. A null id is never a component_id unless all ids
       of the component are null; such rows are not ``kept``.
+    * Leaders are the first of their group in the order by planes and a hash; of equally near neighbours the one with the
+      lower row number is kept. Neither changes which links are true, only in which round they are found.
     * An empty table gives no rows. Other columns are not read.
     """
     spark = rows.sparkSession
     everything = stored(unit_vectors(rows, id_col, vec_col, label_col), "vectors")
     vectors = everything.where("vec is not null").select("row", "part", "vec")
-    parts = vectors.select("part").distinct().count()
+    angle = math.acos(threshold)
+    reach = angle + EDGE
     # Half the angle, and a little less for rounding.
-    members = leaders(vectors, parts, math.cos(math.acos(threshold) / 2 - EDGE))
-    heads = stored(vectors.join(members.where("row = leader").select("row"), "row"), "leaders")
-    bits = _bits(heads.count(), parts)
-    graph = stored(first_graph(heads, bits, NEIGHBOURS), "graph")
-    none = spark.createDataFrame([], "u bigint, k int")
-    sizes, floor = none, math.cos(min(math.pi, 2 * math.acos(threshold)))
-    truth = _audit(vectors, threshold) if parts else {}
-
+    members = leaders(vectors, math.cos(angle / 2 - EDGE))
+    classes = members.groupBy("leader").agg(F.count("*").alias("size"), F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("wide"))
+    own = members.where("row = leader").select("row", "part", "vec")
+    heads = stored(own.join(classes.withColumnRenamed("leader", "row"), "row").withColumn("wide", F.when(F.col("size") > 1, F.col("wide")).otherwise(0.0)), "leaders")
+    graph = stored(first_graph(heads, reach), "graph")
+    sizes = spark.createDataFrame([], "u bigint, k int")
+    truth = _audit(vectors, threshold)
     turns = itertools.count()
 
     def better(graph: DataFrame) -> DataFrame:
-        after = stored(refine(heads, graph, sizes, next(turns)), "graph")
+        after = stored(refine(heads, graph, sizes, next(turns), reach), "graph")
         drop_stored(graph)
         return after
 
     def settled(graph: DataFrame) -> DataFrame:
-        """Refined until a round adds no pair that is near enough to hold links."""
+        """Refined until a round adds no pair that counts."""
         held = -1
-        while held < (now := graph.where(F.col("s") >= floor).count()):
+        while held < (now := graph.where("counts").count()):
             held, graph = now, better(graph)
         return graph
 
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS - 1):
         graph = better(graph)
     graph = settled(graph)
     for turn in range(AUDIT_ROUNDS):
         while True:
-            full = graph.groupBy("u").agg(F.count("*").alias("held"), F.min("s").alias("last")).where(F.col("last") >= floor)
-            full = stored(
-                full.join(sizes, "u", "left").where(F.col("held") >= F.coalesce("k", F.lit(NEIGHBOURS))).select("u", (F.col("held") * 2).cast("int").alias("k")), "full"
-            )
+            full = graph.groupBy("u").agg(F.count("*").alias("held"), F.bool_and("counts").alias("all")).where("all").join(sizes, "u", "left")
+            full = full.where(F.col("held") >= F.coalesce("k", F.lit(NEIGHBOURS))).select("u", (F.col("held") * 2).cast("int").alias("k"))
+            full = stored(full, "full")
             if full.isEmpty():
                 break
             sizes = stored(full.unionByName(sizes.join(full, "u", "left_anti")), "sizes")
             graph = settled(graph)
-        n_links, joined = _links(vectors, members, graph, threshold)
-        n_links = stored(n_links, "link-counts")
-        found = {r["row"]: r["n_links"] for r in n_links.where(F.col("row").isin(list(truth))).collect()} if truth else {}
-        wanted = sum(truth.values())
-        if turn == AUDIT_ROUNDS - 1 or sum(min(n, truth[r]) for r, n in found.items()) >= AUDIT_RECALL * wanted:
+        n_links, joined = _links(members, heads, graph, threshold)
+        asked = spark.createDataFrame([(r,) for r in truth], "row bigint")
+        found = {r["row"]: r["n_links"] for r in n_links.join(F.broadcast(asked), "row").collect()}
+        low = _short(truth, found)
+        if not low:
             break
-        longer = heads.select(F.col("row").alias("u")).join(sizes, "u", "left")
-        sizes = stored(longer.select("u", F.greatest(F.lit(NEIGHBOURS << (turn + 1)), "k").alias("k")), "sizes")
-        graph = settled(graph)
+        if turn < AUDIT_ROUNDS - 1:
+            longer = heads.where(F.col("part").isin(*low)).select(F.col("row").alias("u")).join(sizes, "u", "left")
+            longer = longer.select("u", (F.coalesce("k", F.lit(NEIGHBOURS)) * 2).cast("int").alias("k"))
+            sizes = stored(longer.unionByName(sizes.join(longer, "u", "left_anti")), "sizes")
+            graph = settled(better(graph))
+        else:
+            exact = all_edges(heads.where(F.col("part").isin(*low)), reach)
+            n_links, joined = _links(members, heads, stored(graph.unionByName(exact), "graph"), threshold)
     groups = components(joined)
     by_group = n_links.join(groups.withColumnRenamed("node", "leader"), "leader", "left").select(
         "row", "n_links", F.coalesce("component", "leader").alias("component")

@@ -279,27 +279,61 @@ def test_scores_of_defined_cases(spark):
 
 
 def plain_line_dedup(docs, min_words):
+    """Lines go that lie in a block of ``min_words`` words which any earlier document has, block by block against every document."""
     rows = {d: [x for x in ((line.strip(SPACES)) for line in (t or "").split("\n")) if x] for d, t in docs}
-    first = {}
-    for d in sorted(rows):
-        for line in rows[d]:
-            first.setdefault(line, d)
+    before = {}
     out = {}
+    for d in sorted(rows):
+        b, cut = rows[d], set()
+        for earlier, starts in before.items():
+            a = rows[earlier]
+            for j, line in enumerate(b):
+                for i in starts.get(line, ()):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in b[j : j + n]) >= min_words:
+                        cut.update(range(j, j + n))
+        before[d] = {}
+        for i, line in enumerate(b):
+            before[d].setdefault(line, []).append(i)
+        out[d] = cut
     for d, text in docs:
-        b = [(i, x, len(x.split())) for i, x in enumerate(rows[d])]
-        cut = set()
-        for f in {first[x] for x in rows[d]} - {d}:
-            cut |= set(linedup.common_blocks([(i, x, len(x.split())) for i, x in enumerate(rows[f])], b, min_words))
         kept, k = [], 0
         for line in (text or "").split("\n"):
             worded = bool(line.strip(SPACES))
-            if not (worded and k in cut):
+            if not (worded and k in out[d]):
                 kept.append(line)
             k += worded
-        out[d] = (None if text is None else "\n".join(kept), len(cut))
+        out[d] = (None if text is None else "\n".join(kept), len(out[d]))
     return out
 
 
+def test_line_dedup_against_all_earlier_documents(spark):
+    """Blocks that recur, move, cross, or have first holders of single lines elsewhere; no line is unique."""
+    rng = random.Random(8)
+    lines = [f"line {i} " + "word " * rng.choice([4, 12, 24]) for i in range(14)]
+    blocks = [[rng.choice(lines) for _ in range(rng.randrange(2, 9))] for _ in range(6)]
+    rows = []
+    for d in range(150):
+        text = [line for _ in range(rng.randrange(5)) for line in rng.choice([rng.choice(blocks), [rng.choice(lines)], [f"own {d} {rng.random()}"]])]
+        rows.append((d, "\n".join(text)))
+    got = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = plain_line_dedup(rows, linedup.MIN_WORDS)
+    assert {r.doc_id: (r.text, r.deleted_lines) for r in got} == want
+    assert sum(n > 0 for _, n in want.values()) > 40
+
+
+def test_copies_that_patience_does_not_reach(spark):
+    p = "\n".join(f"line {i} of a passage with some ten words in it" for i in range(8))
+    left, right = "line a " + "word " * 30, "line b " + "word " * 30
+    rows = [(1, f"s\n{p}\nt"), (2, f"t\n{p}\n{p}\ns"), (3, left), (4, right), (5, f"{left}\n{right}"), (6, f"{left}\n{right}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_key", F.lit(1)).withColumn("_cut", F.lit(2)).withColumn("deleted_lines", F.lit("x"))
+    got = linedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_key", "_cut", "deleted_lines"]
+    assert {r.doc_id: r.deleted_lines for r in got.collect()} == {1: 0, 2: 16, 3: 0, 4: 0, 5: 0, 6: 2}
+
+
 def test_line_dedup_query_against_pairs(spark):
     docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
     got = QUERIES["op2_line_dedup"](spark, SF).collect()
