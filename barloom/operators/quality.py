@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.blocks import carried, in_slices
 from barloom.functions.guards import broadcast_if_small
 from barloom.functions.rolling import before, series_window, upto
 from barloom.operators.clean import is_ordered
 from barloom.sources.bars import OHLCV
+from barloom.sources.sinks import materialize
 
 
 def _cells(columns: Sequence[str], fields) -> Column:
@@ -256,13 +258,20 @@ def jump_check(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def temporal_alignment(df: DataFrame, *, seq_col: str | None = None) -> DataFrame:
-    """Per symbol: duplicate dates, and rows out of order in ingest sequence (when there is one)."""
+    """Per symbol: duplicate dates, and rows out of order in ingest sequence (when there is one).
+
+    The sequence is sorted over all tasks; a symbol may have any number of rows.
+    """
     if seq_col is None:
         marked = df.select("symbol", "date", F.lit(0).alias("_late"))
     else:
-        w = Window.partitionBy("symbol").orderBy(seq_col)
-        late = F.coalesce(F.col("date") < F.lag("date").over(w), F.lit(False)).cast("int")
-        marked = df.select("symbol", "date", late.alias("_late"))
+        rows = in_slices(df.select("symbol", "date", seq_col), symbol_col="symbol", order_col=seq_col)
+        # A slice of the sequence starts after the last date of the slice before.
+        ends = materialize(rows.groupBy("symbol", "_slice").agg(F.max_by("date", "_at").alias("_end")), "slice-ends")
+        ends = carried(ends, "_end", "_before", symbol_col="symbol", last=True)
+        near = F.lag("date").over(Window.partitionBy("symbol", "_slice").orderBy("_at"))
+        late = F.coalesce(F.col("date") < F.coalesce(near, F.col("_before")), F.lit(False)).cast("int")
+        marked = rows.join(ends, ["symbol", "_slice"]).select("symbol", "date", late.alias("_late"))
     per_date = marked.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("_late").alias("late"))
     return (
         per_date.groupBy("symbol")
