@@ -109,19 +109,22 @@ class Backend:
             plain = [p[1:].replace(MARK, " ") if p.startswith(MARK) else None for p in parts]
             asked = [i for i, p in enumerate(plain) if p]
             for i, ids in zip(asked, self.library.encode([plain[i] for i in asked], num_threads=1)):
-                own = np.array(ids, "<u4").tobytes()
-                if own != out[i]:
+                if np.array(ids, "<u4").tobytes() != out[i]:
                     self.differing.add(parts[i])
-                    out[i] = own
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; none for null and empty ones."""
         parts = [self.parts(self.normalise(t or "")) for t in texts]
-        if len(self.differing) > 100_000:
-            self.differing.clear()
+        if len(self.memo.known) > self.memo.limit:
+            self.forget()
         return [np.frombuffer(b, "<u4") for b in self.memo.ids(parts)]
 
+    def forget(self) -> None:
+        """Empty the memo, and what is known of its parts: they are compared again when they come again."""
+        self.memo.known.clear()
+        self.differing.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.octets.__getitem__, ids.tolist())).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -148,6 +151,8 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     * Null and empty texts have no ids, and decode to the empty text. Null ids and repeated rows pass through; an empty
       table gives no rows. Other columns are not read.
+    * Texts of any length are encoded whole; a batch of documents must fit into a task. The ids are those of the rebuilt
+      tokenizer, also where the library differs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +177,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        model.forget()  # the worker is used again by other stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {SCHEMA}" + (", ids array<int>" if with_ids else "")

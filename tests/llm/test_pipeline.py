@@ -91,3 +91,13 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert {r.doc_id for r in kept} <= {*range(13), None}
     near = corpus_pipeline.near_dedup(spark, odd.where(F.col("doc_id") == 4), SF)
     assert near.count() == 1
+
+
+def test_ids_that_clash(spark):
+    """Different texts of one id stay; repeated rows, and near copies under one id, go."""
+    a, b = (" ".join(f"{name}{i}" for i in range(80)) for name in "ab")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, a, "en", "s", 1), (5, a, "de", "s", 1), (6, b + " c", "en", "s", 1), (7, a + " c", "en", "s", 1), (5, a + " d", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [tuple(r)[:3] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert len(kept) == 2 and {d for d, *_ in kept} == {5}
+    assert sorted(t[:1] for _, t, _ in kept) == ["a", "b"]
