@@ -153,31 +153,63 @@ def _train_scale(table: MomentTable, a: np.ndarray) -> np.ndarray:
     return np.where(sd > 0, sd, 1.0)
 
 
-def _css(w: np.ndarray, phi: float, theta: float) -> tuple[float, float]:
-    """Conditional sum of squares and last residual of an ARMA(1,1) on ``w``."""
-    e, total, prev = 0.0, 0.0, 0.0
+#: Starting points of an ARMA fit: a grid over both parameters, which stay within +-EDGE.
+GRID = np.linspace(-0.9, 0.9, 9)
+EDGE = 0.99
+
+
+def css_grid(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Conditional sums of squares of ARMA(1,1) fits on ``w``; all points go through the recursion as one vector."""
+    prev = np.concatenate([[0.0], w[:-1]])
+    shock = w[:, None] - prev[:, None] * phi
+    e, total = np.zeros_like(phi), np.zeros_like(phi)
+    for row in shock:
+        e = row - theta * e
+        total += e * e
+    return total
+
+
+def _step(w: list[float], phi: float, theta: float) -> tuple[float, float, float, float]:
+    """(sum of squares, last residual, Gauss-Newton steps of phi and theta) at one point."""
+    e = dp = dt = prev = total = gp = gt = pp = pt = tt = 0.0
     for x in w:
+        dp, dt = -prev - theta * dp, -e - theta * dt
         e = x - phi * prev - theta * e
         total += e * e
+        gp += dp * e
+        gt += dt * e
+        pp += dp * dp
+        pt += dp * dt
+        tt += dt * dt
         prev = x
-    return total, e
-
-
-def fit_arma11(w: np.ndarray) -> tuple[float, float, float]:
-    """(phi, theta, last residual) minimising the conditional sum of squares, by a narrowing grid."""
-    phi, theta, width = 0.0, 0.0, 0.96
-    best = _css(w, phi, theta)[0]
-    for _ in range(12):
-        centre = (phi, theta)
-        for dp in (-1.0, -0.5, 0.0, 0.5, 1.0):
-            for dt in (-1.0, -0.5, 0.0, 0.5, 1.0):
-                p, t = centre[0] + dp * width, centre[1] + dt * width
-                if abs(p) < 0.99 and abs(t) < 0.99:
-                    s = _css(w, p, t)[0]
-                    if s < best:
-                        best, phi, theta = s, p, t
-        width *= 0.5
-    return phi, theta, _css(w, phi, theta)[1]
+    det = pp * tt - pt * pt
+    if det <= 1e-12 * pp * tt:  # the two parameters can't be told apart: move along the gradient
+        scale = pp + tt
+        return (total, e, -gp / scale, -gt / scale) if scale else (total, e, 0.0, 0.0)
+    return total, e, (pt * gt - tt * gp) / det, (pt * gp - pp * gt) / det
+
+
+def fit_arma11(w: np.ndarray, *, iterations: int = 50, tolerance: float = 1e-9) -> tuple[float, float, float]:
+    """(phi, theta, last residual) minimising the conditional sum of squares: the best grid point, then Gauss-Newton."""
+    phis, thetas = (x.ravel() for x in np.meshgrid(GRID, GRID))
+    first = int(np.argmin(css_grid(w, phis, thetas)))
+    phi, theta, series = float(phis[first]), float(thetas[first]), w.tolist()
+    total, last, dp, dt = _step(series, phi, theta)
+    for _ in range(iterations):
+        share = 1.0
+        while share > 1e-4:
+            p, t = (min(max(v, -EDGE), EDGE) for v in (phi + share * dp, theta + share * dt))
+            tried = _step(series, p, t)
+            if tried[0] < total:
+                break
+            share /= 4
+        else:
+            break
+        moved = max(abs(p - phi), abs(t - theta))
+        phi, theta, (total, last, dp, dt) = p, t, tried
+        if moved < tolerance:
+            break
+    return phi, theta, last
 
 
 def arima_forecast(closes: np.ndarray, steps: int) -> np.ndarray:

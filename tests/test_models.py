@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -81,6 +82,28 @@ def test_arima_recovers_parameters():
     np.testing.assert_allclose(np.diff(levels)[0], step * phi, rtol=1e-6)
 
 
+def test_arima_sum_of_squares_against_recursive_sql_and_a_fine_grid():
+    rng = np.random.default_rng(9)
+    fine = np.linspace(-0.98, 0.98, 99)
+    for phi, theta in ((0.6, 0.3), (-0.5, 0.8), (0.0, 0.0), (0.9, -0.7)):
+        e = rng.normal(size=250)
+        w = np.zeros(250)
+        for i in range(1, 250):
+            w[i] = phi * w[i - 1] + e[i] + theta * e[i - 1]
+        p, t, last = baselines.fit_arma11(w)
+        assert abs(p) <= 0.99 and abs(t) <= 0.99
+        rows = pd.DataFrame({"i": np.arange(250), "x": w, "prev": np.concatenate([[0.0], w[:-1]])})  # noqa: F841
+        css, end = duckdb.sql(
+            f"""WITH RECURSIVE r AS (SELECT i, x AS e FROM rows WHERE i = 0
+              UNION ALL SELECT n.i, n.x - {p!r}::DOUBLE * n.prev - {t!r}::DOUBLE * r.e FROM r JOIN rows n ON n.i = r.i + 1)
+              SELECT sum(e * e), max_by(e, i) FROM r"""
+        ).fetchall()[0]
+        assert end == pytest.approx(last, abs=1e-9)
+        assert baselines.css_grid(w, np.array([p]), np.array([t]))[0] == pytest.approx(css)
+        grid = baselines.css_grid(w, *(x.ravel() for x in np.meshgrid(fine, fine)))
+        assert css <= grid.min() * (1 + 1e-4)
+
+
 def test_suite_models_and_walk(spark):
     pdf, df = model_frame(spark)
     got = baselines.baseline_suite(df, tier1=["a"], features=["a", "b"]).toPandas()
