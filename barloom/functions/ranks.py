@@ -1,9 +1,8 @@
 """Exact ranks and percentiles of groups too large for one task.
 
-A group here is a whole split, or all rows of a model. Approximate quantiles cut it
-into slots of about equal size, per-slot counts give the offsets, and only rows of one
-slot meet in a task. A value frequent enough to fill slots is itself a cut, gets a slot
-of its own, and needs no ordering: its rows are spread over many tasks.
+A group here is a whole split, or all rows of a model. Ranks need only the different values and how often they occur:
+these are counted map-side and numbered along slices of their order, so neither many rows nor a frequent value meet in a
+task. Percentiles bracket the wanted ranks.
 """
 
 from __future__ import annotations
@@ -13,69 +12,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.guards import BROADCAST_BYTES, broadcast_if_small
-from barloom.sources.sinks import materialize
-
-SPREAD = 64
-ROWS_PER_SLOT = 100_000
-LEAST_SLOTS, MOST_SLOTS = 256, 1 << 14
-
-
-def _smaller_cuts(cuts: str, v: Column, slots: int) -> Column:
-    """How many of the sorted cuts are below ``v``, by bisection."""
-    steps = F.array(*[F.lit(1 << k) for k in range(slots.bit_length() - 1, -1, -1)])
-    further = lambda at, step: F.when(F.get(cuts, at + step - 1) < v, at + step).otherwise(at)
-    return F.aggregate(steps, F.lit(0), further)
+from barloom.functions.blocks import ROWS_PER_BLOCK, running_total
+from barloom.functions.guards import broadcast_if_small
 
 
 def average_ranks(
-    df: DataFrame,
-    groups: Sequence[str],
-    ranks: Mapping[str, str],
-    *,
-    weight: str | None = None,
-    resampled_by: Sequence[str] = (),
-    slots: int | None = None,
+    df: DataFrame, groups: Sequence[str], ranks: Mapping[str, str], *, rows_per_slice: int = ROWS_PER_BLOCK
 ) -> DataFrame:
-    """Add the average rank of each value column within ``groups`` (``ranks``: column -> new column).
-
-    With ``weight`` a row counts that many times. ``resampled_by`` names further group columns
-    that repeat the same rows (bootstrap draws): they are ranked apart but share the cuts.
-    """
-    if slots is None:
-        # As many as keep a slot at ROWS_PER_SLOT; a count of resampled rows would draw them all.
-        rows = 0 if resampled_by else df.count()
-        slots = min(MOST_SLOTS, max(LEAST_SLOTS, -(-rows // ROWS_PER_SLOT)))
-    probs = [i / slots for i in range(1, slots)]
-    full = [*groups, *resampled_by]
-    cuts = df.groupBy(*groups).agg(
-        *[F.array_distinct(F.percentile_approx(c, probs, 20 * slots)).alias(f"_cuts_{c}") for c in ranks]
-    )
-    mass = F.lit(1.0) if weight is None else F.col(weight)
-    # One row per group with at most ``slots`` cuts a column.
-    cuts = materialize(cuts, "rank-cuts")
-    few = cuts.count() * slots * 80 <= BROADCAST_BYTES  # bytes of the cuts and of the offsets
-    df = df.join(F.broadcast(cuts) if few else cuts, list(groups)).withColumn("_m", mass)
+    """Add the average rank of each value column within ``groups`` (``ranks``: column -> new column); NULLs have none."""
     for c, out in ranks.items():
-        v = F.col(c)
-        df = df.withColumn("_below", _smaller_cuts(f"_cuts_{c}", v, slots))
-        on_cut = F.coalesce((F.get(f"_cuts_{c}", F.col("_below")) == v).cast("int"), F.lit(0))
-        df = df.withColumn("_slot", F.col("_below") * 2 + on_cut).drop("_below")
-        counts = df.groupBy(*full, "_slot").agg(F.sum("_m").alias("_cnt"))
-        earlier = Window.partitionBy(*full).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0.0)))
-        # At most 2 * slots rows a group; with resamples or many groups the optimiser picks the join.
-        df = df.join(F.broadcast(offsets) if few and not resampled_by else offsets, [*full, "_slot"])
-        own = F.col("_slot") % 2 == 1
-        salt = F.when(own, F.pmod(F.xxhash64(*[x for x in ranks if x != c]), F.lit(SPREAD))).otherwise(0)
-        df = df.withColumn("_salt", salt)
-        # The default frame of an ordered window takes in the rows tied with the current one.
-        w = Window.partitionBy(*full, "_slot", "_salt").orderBy(c)
-        ties = Window.partitionBy(*full, "_slot", "_salt", c)
-        inner = F.sum("_m").over(w) - (F.sum("_m").over(ties) - 1) / 2.0
-        rank = F.col("_off") + F.when(own, (F.col("_cnt") + 1) / 2.0).otherwise(inner)
-        df = df.withColumn(out, rank).drop("_slot", "_cnt", "_off", "_salt")
-    return df.drop("_m", *[f"_cuts_{c}" for c in ranks])
+        values = df.where(F.col(c).isNotNull()).groupBy(*groups, c).agg(F.count(F.lit(1)).alias("_n"))
+        key = F.concat_ws("\u0001", *[F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in groups])
+        upto = running_total(values.withColumn("_g", key), F.col("_n"), "_upto", symbol_col="_g", order_col=c, rows_per_slice=rows_per_slice)
+        # Of n equal values up to the upto-th the average rank lies (n - 1) / 2 below the last.
+        ranked = upto.select(*groups, c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+        df = df.join(ranked, [*groups, c], "left")
+    return df
 
 
 def exact_percentiles(

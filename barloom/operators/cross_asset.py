@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.guards import broadcast_if_small, collect_bounded
+from barloom.functions.guards import broadcast_if_small
 from barloom.functions.rolling import ratio, roll, rolling_corr, series_window
 from barloom.operators.align import align_asof, align_exact_ffill
 from barloom.operators.features import regime_code
@@ -80,6 +80,8 @@ def relative_strength(df: DataFrame, market: DataFrame, *, ticker: str = BENCHMA
 
 # Peers
 
+BUCKETS = 64
+
 
 def peers_of(targets: DataFrame, registry: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     """(symbol, peer): registry symbols of the target's sector and the supplied tickers, without itself.
@@ -92,9 +94,10 @@ def peers_of(targets: DataFrame, registry: DataFrame, supplied: DataFrame | None
     own = first.join(wanted, "symbol", "left_semi")
     pairs = first.withColumnRenamed("symbol", "peer").join(broadcast_if_small(own), "sector").select("symbol", "peer")
     if supplied is not None:
-        listed = collect_bounded(supplied.select(F.upper("ticker").alias("t")).distinct(), limit=5_000)
-        tickers = F.array(*[F.lit(r["t"]) for r in listed])
-        pairs = pairs.unionByName(own.select("symbol", F.explode(tickers.cast("array<string>")).alias("peer")))
+        # Every target gets every ticker; buckets of tickers spread that over tasks, however many there are.
+        listed = supplied.select(F.upper("ticker").alias("peer")).distinct().withColumn("_bucket", F.pmod(F.xxhash64("peer"), F.lit(BUCKETS)))
+        spread = own.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).cast("bigint").alias("_bucket"))
+        pairs = pairs.unionByName(listed.join(spread, "_bucket").select("symbol", "peer"))
     return pairs.where("symbol <> peer").distinct()
 
 

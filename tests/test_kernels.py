@@ -118,7 +118,7 @@ def test_average_ranks_with_heavy_ties(spark):
     x = rng.normal(size=3000)
     x[rng.random(3000) < 0.4] = 0.0
     pdf = pd.DataFrame({"g": rng.choice(["u", "v"], 3000), "i": range(3000), "x": x, "y": np.round(rng.normal(size=3000), 1)})
-    got = average_ranks(spark.createDataFrame(pdf), ["g"], {"x": "rx", "y": "ry"}, slots=16).toPandas().sort_values("i")
+    got = average_ranks(spark.createDataFrame(pdf), ["g"], {"x": "rx", "y": "ry"}, rows_per_slice=64).toPandas().sort_values("i")
     np.testing.assert_allclose(got["rx"], pdf.groupby("g")["x"].rank())
     np.testing.assert_allclose(got["ry"], pdf.groupby("g")["y"].rank())
 
