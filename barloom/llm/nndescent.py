@@ -204,11 +204,11 @@ def first_graph(heads: DataFrame, reach: float) -> DataFrame:
     return _best(in_orders(heads, list(range(ORDERS)), nearest, EDGES), F.lit(NEIGHBOURS))
 
 
-def refine(heads: DataFrame, graph: DataFrame, sizes: DataFrame, turn: int, reach: float) -> DataFrame:
+def refine(heads: DataFrame, graph: DataFrame, sizes: DataFrame, turn: int, reach: float, active: DataFrame | None = None) -> DataFrame:
     """One round: neighbours of each leader (either way) meet, and keep the better of each other.
 
     ``sizes`` (u, k) has the list lengths that are not NEIGHBOURS. A large neighbourhood is cut anew at every leader and in
-    every ``turn``.
+    every ``turn``. With ``active`` (u) only the neighbourhoods of these leaders meet.
     """
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
@@ -226,6 +226,8 @@ def refine(heads: DataFrame, graph: DataFrame, sizes: DataFrame, turn: int, reac
     known = heads.select("row", "vec", "wide").join(lists, "row", "left").na.fill({"k": NEIGHBOURS, "last": -2.0})
     ends = graph.select(F.col("u").alias("at"), F.col("v").alias("row")).unionByName(graph.select(F.col("v").alias("at"), F.col("u").alias("row")))
     ends = ends.unionByName(heads.select(F.col("row").alias("at"), "row"))
+    if active is not None:
+        ends = ends.join(active.select(F.col("u").alias("at")), "at", "left_semi")
     met = ends.join(known, "row").withColumn("mix", F.xxhash64("row", "at", F.lit(turn)))
     met = met.repartitionByRange("at", "mix").sortWithinPartitions("at", "mix").mapInPandas(lambda frames: _cut(frames, "at", meet), EDGES)
     return _best(graph.unionByName(met).join(sizes, "u", "left"), size)
@@ -364,16 +366,16 @@ def near_duplicates(
     truth = _audit(vectors, threshold)
     turns = itertools.count()
 
-    def better(graph: DataFrame) -> DataFrame:
-        after = stored(refine(heads, graph, sizes, next(turns), reach), "graph")
+    def better(graph: DataFrame, active: DataFrame | None = None) -> DataFrame:
+        after = stored(refine(heads, graph, sizes, next(turns), reach, active), "graph")
         drop_stored(graph)
         return after
 
-    def settled(graph: DataFrame) -> DataFrame:
+    def settled(graph: DataFrame, active: DataFrame | None = None) -> DataFrame:
         """Refined until a round adds no pair that counts."""
         held = -1
         while held < (now := graph.where("counts").count()):
-            held, graph = now, better(graph)
+            held, graph = now, better(graph, active)
         return graph
 
     for _ in range(ROUNDS - 1):
@@ -387,7 +389,9 @@ def near_duplicates(
             if full.isEmpty():
                 break
             sizes = stored(full.unionByName(sizes.join(full, "u", "left_anti")), "sizes")
-            graph = settled(graph)
+            # Longer lists are filled where they, or their neighbours, are; the rest of the graph has settled.
+            around = graph.join(full.select("u"), "u", "left_semi").select(F.col("v").alias("u"))
+            graph = settled(graph, stored(full.select("u").unionByName(around).distinct(), "around"))
         n_links, joined = _links(members, heads, graph, threshold)
         asked = spark.createDataFrame([(r,) for r in truth], "row bigint")
         found = {r["row"]: r["n_links"] for r in n_links.join(F.broadcast(asked), "row").collect()}

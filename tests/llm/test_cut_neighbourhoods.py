@@ -51,9 +51,9 @@ def test_points_cut_apart_meet_in_another_round(spark):
 def test_hot_group_and_small_groups_in_one_label(spark):
     rng = np.random.default_rng(2)
     normal = lambda n: rng.normal(size=(n, 64)) / 8
-    hot = normal(1) + 0.02 * rng.normal(size=(1500, 64))
-    small = np.repeat(normal(700), 4, axis=0) + 0.012 * rng.normal(size=(2800, 64))
-    vecs = np.concatenate([hot, small, normal(1000)])[rng.permutation(5300)]
+    hot = normal(1) + 0.02 * rng.normal(size=(900, 64))
+    small = np.repeat(normal(400), 4, axis=0) + 0.012 * rng.normal(size=(1600, 64))
+    vecs = np.concatenate([hot, small, normal(1000)])[rng.permutation(3500)]
     links, root = truth(vecs)
     got = nndescent.near_duplicates(frame(spark, vecs, ["x"] * len(vecs))).collect()
     assert min(recall(got, links)) >= 0.98
@@ -62,7 +62,7 @@ def test_hot_group_and_small_groups_in_one_label(spark):
 
 def test_dense_label_of_spread_out_vectors(spark):
     """Few of the links lie within a class: most leaders have links to many others."""
-    vecs = spread_out(1500)
+    vecs = spread_out(250)
     links, root = truth(vecs)
     got = nndescent.near_duplicates(frame(spark, vecs, ["x"] * len(vecs))).collect()
     assert min(recall(got, links)) >= 0.95
