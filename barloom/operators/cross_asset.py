@@ -96,7 +96,7 @@ def peers_of(targets: DataFrame, registry: DataFrame, supplied: DataFrame | None
     if supplied is not None:
         # Every target gets every ticker; buckets of tickers spread that over tasks, however many there are.
         listed = supplied.select(F.upper("ticker").alias("peer")).distinct().withColumn("_bucket", F.pmod(F.xxhash64("peer"), F.lit(BUCKETS)))
-        spread = own.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).cast("bigint").alias("_bucket"))
+        spread = own.select("symbol", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BUCKETS - 1).cast("bigint"))).alias("_bucket"))
         pairs = pairs.unionByName(listed.join(spread, "_bucket").select("symbol", "peer"))
     return pairs.where("symbol <> peer").distinct()
 
