@@ -116,6 +116,7 @@ def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     * Blank lines break no rule and stay; a text without line breaks is one line.
     * ``kept`` is false if ``base_failed`` or if the failed lines hold over ``MAX_LOST_PERCENT`` of the word characters.
     * Null ids, repeated rows and empty tables pass through as they are. Other columns are not read.
+    * Texts of any length are read whole, within the row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(SPACE)) != ""

@@ -127,6 +127,7 @@ def near_duplicates(
     * A row with a null id keeps its fingerprint; its component_id is that of the documents with that fingerprint, or
       null if none of them has an id. Null ids are never a component_id.
     * Repeated rows and ids give repeated rows. An empty table gives no rows. Other columns are not read.
+    * Texts of any length are read whole, their shingles in blocks.
     """
     fps = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
