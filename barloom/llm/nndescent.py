@@ -5,11 +5,11 @@
    a group of very many near copies shrinks by the size of a group in each.
 2. Graph. Each leader starts with its nearest ones among its neighbours along several orders by random planes, and refines
    them by joins with its neighbours' neighbours. A neighbour counts if the two classes are near enough to hold links. A
-   list in which all count is saturated: it is doubled and refined again until none is.
+   list in which all count is saturated: it is lengthened and refined again until none is.
 3. Links. Class pairs that are near enough link as a whole, or not at all; those between are compared member by member
    in blocks. Counts, not pairs, leave the tasks.
 4. Audit. A fixed number of vectors is compared with all rows, and recall is taken vector by vector, those with few and
-   with many links apart. Where it falls short lists are doubled; labels that still fall short are compared exactly, in
+   with many links apart. Where it falls short lists are lengthened; labels that still fall short are compared exactly, in
    blocks of leaders.
 
 Groups are cut from a sorted order: rows are range-partitioned by what brings them together and then by a hash, and tasks
@@ -32,6 +32,8 @@ from barloom.llm.common import components, drop_stored, stored
 
 THRESHOLD = 0.93
 NEIGHBOURS = 8
+#: How much longer a saturated list gets.
+GROWTH = 4
 ROUNDS = 2
 ORDERS = 3
 #: Vectors that meet in a group.
@@ -384,7 +386,7 @@ def near_duplicates(
     for turn in range(AUDIT_ROUNDS):
         while True:
             full = graph.groupBy("u").agg(F.count("*").alias("held"), F.bool_and("counts").alias("all")).where("all").join(sizes, "u", "left")
-            full = full.where(F.col("held") >= F.coalesce("k", F.lit(NEIGHBOURS))).select("u", (F.col("held") * 2).cast("int").alias("k"))
+            full = full.where(F.col("held") >= F.coalesce("k", F.lit(NEIGHBOURS))).select("u", (F.col("held") * GROWTH).cast("int").alias("k"))
             full = stored(full, "full")
             if full.isEmpty():
                 break
@@ -400,7 +402,7 @@ def near_duplicates(
             break
         if turn < AUDIT_ROUNDS - 1:
             longer = heads.where(F.col("part").isin(*low)).select(F.col("row").alias("u")).join(sizes, "u", "left")
-            longer = longer.select("u", (F.coalesce("k", F.lit(NEIGHBOURS)) * 2).cast("int").alias("k"))
+            longer = longer.select("u", (F.coalesce("k", F.lit(NEIGHBOURS)) * GROWTH).cast("int").alias("k"))
             sizes = stored(longer.unionByName(sizes.join(longer, "u", "left_anti")), "sizes")
             graph = settled(better(graph))
         else:
