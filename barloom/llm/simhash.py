@@ -11,7 +11,7 @@ point only: 4,034 different ones at most, whatever the table size. Equal fingerp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -35,9 +35,13 @@ def fingerprint(text: bytes | None, *, words_per_shingle: int = 3, seed: int = 4
     k = min(words_per_shingle, len(words))
     n = len(words) - k + 1
     hashed = map(partial(xxhash.xxh64_intdigest, seed=seed), map(b" ".join, zip(*(words[i:] for i in range(k)))))
+    return majority((np.fromiter(hashed, np.uint64, min(BLOCK, n - at)) for at in range(0, n, BLOCK)), n)
+
+
+def majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The bits set in over half of ``n`` unsigned 64-bit hashes that come in blocks; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        block = np.fromiter(hashed, np.uint64, min(BLOCK, n - at))
+    for block in blocks:
         ones += np.unpackbits(block.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 

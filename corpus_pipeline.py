@@ -39,6 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies (five words, 0.8); one of repeated rows. Documents without an id stay.
 
+    SimHash links come first, MinHash keys find what two bits miss, and the exact similarity decides.
     Rows are repeated if id and text are equal; different texts of one id are documents of their own.
     """
     small_batches(spark)

@@ -70,3 +70,43 @@ def test_defined_cases(spark):
     assert {r.component_id for r in got if r.doc_id in (7, 8)} == {7}
     assert {r.component_id for r in got if r.doc_id is None} == {0, 4}
     assert shingles.near_copies(odd.limit(0)).collect() == []
+
+
+def test_simhash_proposes_first(spark):
+    """The links join the classes of all pairs of fingerprints, one vote for each different five-word shingle."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=1500)) for _ in range(10)]
+    rows = list(enumerate([*texts, *[edited(rng, t, 1) for t in texts for _ in range(6)], "", None]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = shingles.sketches(docs, 5, id_col="doc_id", text_col="text")
+    found = {r.node: r for r in marks.collect() if r.n}
+    for d, text in rows[:5]:
+        grams = shingles.shingles(text.encode()).tolist()
+        want = sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in grams) > len(grams))
+        assert want in {r.fp % (1 << 64) for r in found.values() if r.id == d}
+    nodes = sorted(found)
+    near = [(i, j) for i in range(len(nodes)) for j in range(i) if ((found[nodes[i]].fp ^ found[nodes[j]].fp) % (1 << 64)).bit_count() <= 2]
+    roots = union_find(len(nodes), near)
+    got = [(nodes.index(r.a), nodes.index(r.b)) for r in shingles.simhash_links(marks).collect()]
+    assert union_find(len(nodes), got) == roots
+    assert sum(r != i for i, r in enumerate(roots)) > 10
+
+
+def test_family_of_far_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies with too many edits to be alike share keys with all others; the comparisons stay in proportion to the rows."""
+    rng = random.Random(9)
+    base = " ".join(rng.choices([f"w{i}" for i in range(3000)], k=150))
+    rows = list(enumerate([base] + [edited(rng, base, rng.randrange(1, 8)) for _ in range(400)]))
+    seen = []
+    compare = shingles._Search.compare
+
+    def counted(self, pairs):
+        before = self.tried.count()
+        compare(self, pairs)
+        seen.append(self.tried.count() - before)
+
+    monkeypatch.setattr(shingles._Search, "compare", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = shingles.near_copies(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain_groups(rows)
+    assert sum(seen) < 8 * len(rows)
